@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 META = ("_seq", "_op", "_ts")
 
 
-def latest_by_key(changelog: DataFrame, keys: list[str], keep_meta: bool = False) -> DataFrame:
-    """Newest row per key; keys whose newest row is a delete are gone. Without keys the topic is one row."""
+def latest_by_key(changelog: DataFrame, keys: list[str], keep_meta: bool = False, tombstones: bool = False) -> DataFrame:
+    """Newest row per key; keys whose newest row is a delete are gone, unless ``tombstones`` are asked for. Without keys
+    the topic is one row."""
     rest = [c for c in changelog.columns if c not in keys]
     newest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), "_seq").alias("_row")
-    rows = changelog.groupBy(*keys).agg(newest).filter(F.col("_row._op") != "D")
+    rows = changelog.groupBy(*keys).agg(newest)
+    rows = rows if tombstones else rows.filter(F.col("_row._op") != "D")
     cols = [c for c in rest if keep_meta or c not in META]
     return rows.select(*keys, *[F.col("_row").getField(c).alias(c) for c in cols])
 

@@ -43,26 +43,27 @@ class StateTable:
         rows = self._all().filter(F.col("version") <= upto).groupBy("bucket").agg(F.max("version").alias("v")).collect()
         return {r["bucket"]: r["v"] for r in rows}
 
-    def read(self, upto: int, only: list[int] | None = None) -> DataFrame:
-        """Rows live after batch ``upto``; partition pruning reads just the wanted buckets."""
+    def read(self, upto: int, only: list[int] | None = None, tombstones: bool = False) -> DataFrame:
+        """Rows live after batch ``upto``; partition pruning reads just the wanted buckets. Deletes stay stored with their
+        sequence number, so an older row that arrives late does not come back."""
         live = {b: v for b, v in self.versions(upto).items() if only is None or b in only}
         df = self._all()
         cond = F.lit(False)
         for b, v in live.items():
             cond = cond | ((F.col("bucket") == b) & (F.col("version") == v))
-        return df.filter(cond).drop("bucket", "version").filter("_op IS NOT NULL")
+        return df.filter(cond).drop("bucket", "version").filter("_op IS NOT NULL" if tombstones else "_op <> 'D'")
 
     def merge(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
         """Applies a batch; returns the touched buckets' rows before and after (deletes stay out of both)."""
         touched = [r[0] for r in batch.select(self.bucket().alias("b")).distinct().collect()]  # at most ``buckets`` numbers
-        before = self.read(batch_id - 1, touched)
+        stored = self.read(batch_id - 1, touched, tombstones=True)
         cols = [f.name for f in self.schema.fields]
-        after = latest_by_key(before.select(*cols).unionByName(batch.select(*cols)), self.keys, keep_meta=True).select(*cols)
+        after = latest_by_key(stored.select(*cols).unionByName(batch.select(*cols)), self.keys, keep_meta=True, tombstones=True).select(*cols)
         marks = self.spark.createDataFrame([(b,) for b in touched], "bucket int")
         empty = marks.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields], "bucket")
         out = after.withColumn("bucket", self.bucket()).unionByName(empty).withColumn("version", F.lit(batch_id).cast("long"))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(self.path)
-        return before, self.read(batch_id, touched)
+        return stored.filter("_op <> 'D'"), self.read(batch_id, touched)
 
 
 @dataclass
