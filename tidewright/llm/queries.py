@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import exact, media, mixing, packing, urls, warc
+from tidewright.llm import exact, html, media, mixing, packing, urls, warc
 from tidewright.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
@@ -32,5 +36,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op5_url_filter, op7_exact_dedup, op8_media, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_html, op5_url_filter, op7_exact_dedup, op8_media, op9_warc)}
 ORACLE = {"op2_mixing": mixing.oracle(), "op5_url_filter": urls.SQL, "op7_exact_dedup": exact.SQL}
