@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import exact, html, media, mixing, packing, urls, warc
+from tidewright.llm import exact, html, media, mixing, packing, toxicity, urls, warc
 from tidewright.llm.common import read
 
 
@@ -36,5 +36,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_html, op5_url_filter, op7_exact_dedup, op8_media, op9_warc)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_html, op5_url_filter, op7_exact_dedup, op8_media, op9_warc, op10_toxicity)}
 ORACLE = {"op2_mixing": mixing.oracle(), "op5_url_filter": urls.SQL, "op7_exact_dedup": exact.SQL}
