@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import exact, html, media, mixing, packing, toxicity, urls, warc
+from tidewright.llm import exact, html, media, mixing, packing, partenum, toxicity, urls, warc
 from tidewright.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.join(read(spark, sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "node")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_html, op5_url_filter, op7_exact_dedup, op8_media, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_html, op5_url_filter, op6_ngram_jaccard, op7_exact_dedup, op8_media, op9_warc, op10_toxicity)}
 ORACLE = {"op2_mixing": mixing.oracle(), "op5_url_filter": urls.SQL, "op7_exact_dedup": exact.SQL}
