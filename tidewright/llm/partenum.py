@@ -8,7 +8,7 @@ parts more than k + 1, so that parts without features need not be signatures; sh
 
 Sets that are equal are one node from the start. Buckets of a signature are not expanded into pairs: each member is compared
 with the bucket's least member, components are formed, and only members of different components are looked at again, in tiles
-of bounded size, behind a bound on the intersection from histograms that no similar pair fails. Comparisons are exact.
+of bounded size, behind a bound on the intersection from sketches that no similar pair fails. Comparisons are exact.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import small_join, written
@@ -27,8 +27,8 @@ from tidewright.llm.shingles import WordHashes, identity, mix, shingles
 
 #: Differences up to which the subsets of three subparts are enumerated; parts beyond k + 1 of longer sets.
 SHORT, SLACK = 12, 2
-#: Classes of the histogram; members of one tile's side.
-CLASSES, TILE = 32, 2048
+#: Members of one tile's side.
+TILE = 1024
 #: Documents handled together.
 GROUP = 256
 
@@ -100,8 +100,34 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.nd
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def histogram(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 65535).astype("<u2")
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of the features by their low bits, four bits each, 15 for 15 or more: about one class for four features."""
+    c = 1 << int(np.clip(round(np.log2(max(1, len(s)) / 4)), 4, 13))
+    n = np.minimum(np.bincount((s & np.uint64(c - 1)).astype(np.int64), minlength=c), 15).astype(np.uint8)
+    return (n[0::2] << 4 | n[1::2]).tobytes()
+
+
+class Sketches:
+    """Sketches side by side, folded to the fewest classes among them. The intersection of two sets is at most the sum of
+    the lesser counts of each class; a class that is full on both sides says nothing."""
+
+    def __init__(self, raw: list[bytes], size: np.ndarray, num: int, den: int):
+        c = 2 * min(map(len, raw))
+        self.h = np.empty((len(raw), c), np.uint8)
+        self.full = np.zeros(len(raw), bool)
+        for i, r in enumerate(raw):
+            x = np.frombuffer(r, np.uint8)
+            n = np.stack([x >> 4, x & 15], 1).reshape(-1, c)
+            self.full[i] = (n == 15).any()
+            self.h[i] = n.sum(0) if len(n) > 1 else n[0]
+        self.size, self.num, self.den = size, num, den
+
+    def may(self, i, j) -> np.ndarray:
+        """Whether sets i and j (numbers or arrays of them) can be similar."""
+        a, b = self.size[i], self.size[j]
+        near = (a * self.den >= b * self.num) & (b * self.den >= a * self.num)
+        most = np.minimum(self.h[i], self.h[j]).sum(-1, dtype=np.int64)
+        return near & (((self.den + self.num) * most >= self.num * (a + b)) | (self.full[i] & self.full[j]))
 
 
 def _texts(col: pa.Array) -> Iterator[bytes]:
@@ -109,8 +135,14 @@ def _texts(col: pa.Array) -> Iterator[bytes]:
         yield (t.as_py() or "").encode("utf-8", "surrogatepass")
 
 
+def _print() -> Column:
+    """A text's fingerprint: with the doc_id it names the rows to read again."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("print")
+
+
 def _emit(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Rows of one shuffle: (key = signature, node), and one a document with extra = (doc_id or null, size, histogram)."""
+    """Rows of one shuffle: (key = signature, node), and one a document with extra = (doc_id or null, size, fingerprint,
+    sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, done = WordHashes(), Bands(num, den), set()
@@ -120,8 +152,8 @@ def _emit(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 sets = [shingles(hashes.of(t), words) for t in _texts(b.column(1).slice(a, GROUP))]
                 names = [identity(s) for s in sets]
                 extra = []
-                for doc_id, s in zip(ids.slice(a, GROUP).to_pylist(), sets, strict=True):
-                    extra.append(np.array([0 if doc_id is None else 1, doc_id or 0, len(s)], ">i8").tobytes() + histogram(s).tobytes())
+                for doc_id, print_, s in zip(ids.slice(a, GROUP).to_pylist(), b.column(2).slice(a, GROUP).to_pylist(), sets, strict=True):
+                    extra.append(np.array([0 if doc_id is None else 1, doc_id or 0, len(s), print_], ">i8").tobytes() + sketch(s))
                 if len(done) > 1_000_000:
                     done.clear()
                 fresh: list[int] = []
@@ -137,7 +169,7 @@ def _emit(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     owner = node[np.array(fresh)][who]
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(owner), pa.nulls(len(sig), pa.binary())], ["key", "node", "extra"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, node long, extra binary")
+    return docs.select("doc_id", "text", _print()).mapInArrow(run, "key long, node long, extra binary")
 
 
 def _gather(sorted_rows: DataFrame) -> DataFrame:
@@ -182,35 +214,32 @@ def _gather(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, "kind int, a long, b long, extra binary")
 
 
-def _sets(docs: DataFrame, docs_of: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, set) for the given nodes: the text of one document each is read again."""
-    want = docs_of.join(nodes, "node").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("_id"))
-    want = written(want.select("_id").distinct(), "near-want")
-    # ids and texts of the few wanted documents; an id with several texts brings them all, and each names its own node
-    d = small_join(docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "text"), want, "_id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            for a in range(0, b.num_rows, GROUP):
-                sets = [shingles(hashes.of(t), words) for t in _texts(b.column(1).slice(a, GROUP))]
-                yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
-
-    return written(d.mapInArrow(run, "node long, set binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+def _texts_of(docs: DataFrame, docs_of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) for the given nodes: one document each is read again. Only its id and fingerprint are broadcast, up to
+    a bound; the texts of other documents are never shuffled below it."""
+    one = docs_of.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), "print")).alias("w"))
+    want = written(one.select("node", F.col("w.i").alias("_id"), F.col("w.print").alias("print")), "near-want")
+    d = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), _print(), "text")
+    got = written(small_join(d, want, ["_id", "print"], rows=200_000).select("node", "text"), "near-texts")
+    return got if got.count() == want.count() else got.dropDuplicates(["node"])  # rows that repeat an id and its text
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, docs_of: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: den * intersection >= num * union."""
     pairs = written(pairs, "near-pairs")
-    nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "near-nodes")
-    sets = _sets(docs, docs_of, nodes, words)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = _texts_of(docs, docs_of, nodes)
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        last, y = None, np.zeros(0, np.uint64)
         for t in batches:
             ok = []
-            for x, y in zip(t.column(2), t.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for b, left, right in zip(t.column(1).to_pylist(), _texts(t.column(2)), _texts(t.column(3)), strict=True):
+                if b != last:  # the join has sorted by b
+                    last, y = b, shingles(hashes.of(right), words)
+                x = shingles(hashes.of(left), words)
                 if len(x) * den < len(y) * num or len(y) * den < len(x) * num:
                     ok.append(False)
                     continue
@@ -223,25 +252,44 @@ def _verified(pairs: DataFrame, docs: DataFrame, docs_of: DataFrame, words: int,
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
 
 
+def _possible(pairs: DataFrame, docs_of: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches don't rule out."""
+    facts = _facts(docs_of, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    a, b = (facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns]) for s in "ab")
+    p = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            sizes = [t.column(i).to_pylist() for i in (2, 3)]
+            each = zip(*sizes, t.column(4).to_pylist(), t.column(5).to_pylist(), strict=True)
+            keep = pa.array([bool(Sketches([x, y], np.array([m, n]), num, den).may(0, 1)) for m, n, x, y in each], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], ["a", "b"])
+
+    return p.mapInArrow(run, "a long, b long")
+
+
+def _facts(docs_of: DataFrame, nodes: DataFrame) -> DataFrame:
+    return written(docs_of.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "size", "sketch"), "near-facts")
+
+
 def _left_over(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that the histograms don't rule out."""
+    """Pairs (a, b) of one bucket in different components that the sketches don't rule out."""
     m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = m.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     m = written(m.join(open_.select("sig", F.ceil(F.col("n") / TILE).cast("int").alias("c")), "sig"), "near-open")
-    facts = docs_of.join(m.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "size", "hist")
+    facts = _facts(docs_of, m.select("node").distinct())
     m = m.withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     m = m.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).join(facts, "node")
-    m = m.select("sig", "lo", "hi", "own", "node", "root", "size", "hist").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "node")
+    m = m.select("sig", "lo", "hi", "own", "node", "root", "size", "sketch").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "node")
 
-    def tile(lo: int, hi: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, hist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def tile(lo: int, hi: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, both: Sketches) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         a, b = [], []
         for i in left:
             j = right[node[right] > node[i]] if lo == hi else right
-            j = j[(root[j] != root[i]) & (size[j] * den >= size[i] * num) & (size[i] * den >= size[j] * num)]
+            j = j[root[j] != root[i]]
             if len(j):
-                most = np.minimum(hist[j], hist[i]).sum(1)
-                j = j[(den + num) * most >= num * (size[i] + size[j])]
+                j = j[both.may(i, j)]
                 a.append(np.full(len(j), node[i]))
                 b.append(node[j])
         none = np.zeros(0, np.int64)
@@ -254,13 +302,13 @@ def _left_over(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: in
             if not t.num_rows:
                 return
             c = [t.column(i).to_numpy() for i in range(7)]
-            hist = np.stack([np.frombuffer(h, "<u2") for h in t.column(7).to_pylist()]).astype(np.int64)
+            raw = t.column(7).to_pylist()
             new = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1
             cuts = [0, *new.tolist(), t.num_rows]
             a, b = [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if e - s > 1:
-                    x, y = tile(int(c[1][s]), int(c[2][s]), c[3][s:e], c[4][s:e], c[5][s:e], c[6][s:e], hist[s:e])
+                    x, y = tile(int(c[1][s]), int(c[2][s]), c[3][s:e], c[4][s:e], c[5][s:e], Sketches(raw[s:e], c[6][s:e].astype(np.int64), num, den))
                     a.append(np.maximum(x, y))
                     b.append(np.minimum(x, y))
             if a and sum(map(len, a)):
@@ -293,14 +341,13 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     n = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     got = written(_gather(rows.repartition(n, "key").sortWithinPartitions("key", "node")), "near-rows")
     number = lambda at: F.conv(F.hex(F.substring("extra", at, 8)), 16, -10).cast("long")
-    documents = got.filter("kind = 0").select(F.col("b").alias("node"), F.when(number(1) == 1, number(9)).alias("doc_id"), number(17).alias("size"), F.substring("extra", 25, 2 * CLASSES).alias("hist"))
+    documents = got.filter("kind = 0").select(F.col("b").alias("node"), F.when(number(1) == 1, number(9)).alias("doc_id"), number(17).alias("size"), number(25).alias("print"), F.expr("substring(extra, 33)").alias("sketch"))
     documents = written(documents, "near-docs")
-    stars = got.filter("kind = 1").select("a", "b").distinct()
-    links = _verified(stars, docs, documents, words, num, den)
+    stars = written(got.filter("kind = 1").select("a", "b").distinct(), "near-stars")
+    links = _verified(_possible(stars, documents, num, den), docs, documents, words, num, den)
     roots = components(links)
     members = got.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node"))
-    more = _left_over(members, documents, roots, num, den).join(stars, ["a", "b"], "left_anti")
-    more = written(more, "near-more")
+    more = written(_left_over(members, documents, roots, num, den).join(stars, ["a", "b"], "left_anti"), "near-more")
     if not more.isEmpty():
         links = links.unionByName(_verified(more, docs, documents, words, num, den))
         roots = components(links)
