@@ -101,33 +101,39 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.nd
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of the features by their low bits, four bits each, 15 for 15 or more: about one class for four features."""
-    c = 1 << int(np.clip(round(np.log2(max(1, len(s)) / 4)), 4, 13))
+    """Counts of the features by their low bits, four bits each, 15 for 15 or more: about two classes a feature."""
+    c = 1 << int(np.clip(round(np.log2(max(1, len(s)) * 2)), 5, 16))
     n = np.minimum(np.bincount((s & np.uint64(c - 1)).astype(np.int64), minlength=c), 15).astype(np.uint8)
     return (n[0::2] << 4 | n[1::2]).tobytes()
 
 
 class Sketches:
     """Sketches side by side, folded to the fewest classes among them. The intersection of two sets is at most the sum of
-    the lesser counts of each class; a class that is full on both sides says nothing."""
+    the lesser counts of each class; a class that is full on both sides says nothing. A coarser fold is asked first."""
 
     def __init__(self, raw: list[bytes], size: np.ndarray, num: int, den: int):
         c = 2 * min(map(len, raw))
-        self.h = np.empty((len(raw), c), np.uint8)
+        self.fine = np.empty((len(raw), c), np.uint8)
         self.full = np.zeros(len(raw), bool)
         for i, r in enumerate(raw):
             x = np.frombuffer(r, np.uint8)
             n = np.stack([x >> 4, x & 15], 1).reshape(-1, c)
             self.full[i] = (n == 15).any()
-            self.h[i] = n.sum(0) if len(n) > 1 else n[0]
+            self.fine[i] = np.minimum(n.sum(0, dtype=np.int64), 30) if len(n) > 1 else n[0]
+            self.full[i] |= (self.fine[i] == 30).any()
+        self.coarse = self.fine.reshape(len(raw), 8, c // 8).sum(1, dtype=np.uint8)  # at most 240
         self.size, self.num, self.den = size, num, den
 
-    def may(self, i, j) -> np.ndarray:
-        """Whether sets i and j (numbers or arrays of them) can be similar."""
+    def may(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Which of the sets j can be similar to set i."""
         a, b = self.size[i], self.size[j]
-        near = (a * self.den >= b * self.num) & (b * self.den >= a * self.num)
-        most = np.minimum(self.h[i], self.h[j]).sum(-1, dtype=np.int64)
-        return near & (((self.den + self.num) * most >= self.num * (a + b)) | (self.full[i] & self.full[j]))
+        open_ = (a * self.den >= b * self.num) & (b * self.den >= a * self.num)
+        skip = self.full[i] & self.full[j]
+        for h in (self.coarse, self.fine):
+            at = np.flatnonzero(open_ & ~skip)
+            most = np.minimum(h[j[at]], h[i]).sum(-1, dtype=np.int64)
+            open_[at] = (self.den + self.num) * most >= self.num * (a + b[at])
+        return open_
 
 
 def _texts(col: pa.Array) -> Iterator[bytes]:
@@ -262,7 +268,7 @@ def _possible(pairs: DataFrame, docs_of: DataFrame, num: int, den: int) -> DataF
         for t in batches:
             sizes = [t.column(i).to_pylist() for i in (2, 3)]
             each = zip(*sizes, t.column(4).to_pylist(), t.column(5).to_pylist(), strict=True)
-            keep = pa.array([bool(Sketches([x, y], np.array([m, n]), num, den).may(0, 1)) for m, n, x, y in each], pa.bool_())
+            keep = pa.array([bool(Sketches([x, y], np.array([m, n]), num, den).may(0, np.array([1]))[0]) for m, n, x, y in each], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], ["a", "b"])
 
     return p.mapInArrow(run, "a long, b long")
