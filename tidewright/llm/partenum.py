@@ -8,7 +8,7 @@ parts more than k + 1, so that parts without features need not be signatures; sh
 
 Sets that are equal are one node from the start. Buckets of a signature are not expanded into pairs: each member is compared
 with the bucket's least member, components are formed, and only members of different components are looked at again, in tiles
-of bounded size, behind a bound on the intersection from sketches that no similar pair fails. Comparisons are exact.
+of bounded size: first along a forest of likely links, then, with what that joined, all that is left, behind a bound on the intersection from sketches that no similar pair fails. Comparisons are exact.
 """
 
 from __future__ import annotations
@@ -101,8 +101,8 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.nd
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of the features by their low bits, four bits each, 15 for 15 or more: about two classes a feature."""
-    c = 1 << int(np.clip(round(np.log2(max(1, len(s)) * 2)), 5, 16))
+    """Counts of the features by their low bits, four bits each, 15 for 15 or more: about one class a feature."""
+    c = 1 << int(np.clip(round(np.log2(max(1, len(s)))), 4, 16))
     n = np.minimum(np.bincount((s & np.uint64(c - 1)).astype(np.int64), minlength=c), 15).astype(np.uint8)
     return (n[0::2] << 4 | n[1::2]).tobytes()
 
@@ -124,16 +124,17 @@ class Sketches:
         self.coarse = self.fine.reshape(len(raw), 8, c // 8).sum(1, dtype=np.uint8)  # at most 240
         self.size, self.num, self.den = size, num, den
 
-    def may(self, i: int, j: np.ndarray) -> np.ndarray:
-        """Which of the sets j can be similar to set i."""
+    def may(self, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the sets j can be similar to set i, the bounds of their intersections)."""
         a, b = self.size[i], self.size[j]
         open_ = (a * self.den >= b * self.num) & (b * self.den >= a * self.num)
         skip = self.full[i] & self.full[j]
+        bound = np.full(len(j), np.iinfo(np.int64).max)
         for h in (self.coarse, self.fine):
             at = np.flatnonzero(open_ & ~skip)
-            most = np.minimum(h[j[at]], h[i]).sum(-1, dtype=np.int64)
-            open_[at] = (self.den + self.num) * most >= self.num * (a + b[at])
-        return open_
+            bound[at] = np.minimum(h[j[at]], h[i]).sum(-1, dtype=np.int64)
+            open_[at] = (self.den + self.num) * bound[at] >= self.num * (a + b[at])
+        return open_, bound
 
 
 def _texts(col: pa.Array) -> Iterator[bytes]:
@@ -180,7 +181,7 @@ def _emit(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 def _gather(sorted_rows: DataFrame) -> DataFrame:
     """From rows sorted by (key, node): kind 0 documents (b node, extra), 1 stars (a node, b least node of its bucket),
-    2 members of buckets of three nodes or more (a signature, b node)."""
+    2 members of buckets of three nodes or more (a a name of the bucket's members, b node): equal buckets count once."""
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, extra: pa.Array | None = None) -> pa.RecordBatch:
         extra = pa.nulls(len(a), pa.binary()) if extra is None else extra
@@ -200,7 +201,9 @@ def _gather(sorted_rows: DataFrame) -> DataFrame:
             pair = np.unique(np.stack([node[star], least[star]], 1), axis=0)
             yield rows(1, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
         if (many > 2).any():
-            yield rows(2, key[many > 2], node[many > 2])
+            of = np.repeat(mix(np.add.reduceat(mix(node.view(np.uint64)), starts)).view(np.int64), sizes)
+            pair = np.unique(np.stack([of[many > 2], node[many > 2]], 1), axis=0)
+            yield rows(2, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -268,7 +271,7 @@ def _possible(pairs: DataFrame, docs_of: DataFrame, num: int, den: int) -> DataF
         for t in batches:
             sizes = [t.column(i).to_pylist() for i in (2, 3)]
             each = zip(*sizes, t.column(4).to_pylist(), t.column(5).to_pylist(), strict=True)
-            keep = pa.array([bool(Sketches([x, y], np.array([m, n]), num, den).may(0, np.array([1]))[0]) for m, n, x, y in each], pa.bool_())
+            keep = pa.array([bool(Sketches([x, y], np.array([m, n]), num, den).may(0, np.array([1]))[0][0]) for m, n, x, y in each], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], ["a", "b"])
 
     return p.mapInArrow(run, "a long, b long")
@@ -278,8 +281,9 @@ def _facts(docs_of: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(docs_of.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "size", "sketch"), "near-facts")
 
 
-def _left_over(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that the sketches don't rule out."""
+def _left_over(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: int, den: int, all_: bool) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components that the sketches don't rule out: all of them, or only a forest of
+    the likeliest ones that would join each tile's components if all were links."""
     m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = m.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     m = written(m.join(open_.select("sig", F.ceil(F.col("n") / TILE).cast("int").alias("c")), "sig"), "near-open")
@@ -290,14 +294,21 @@ def _left_over(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: in
 
     def tile(lo: int, hi: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, both: Sketches) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        label = root.copy()
         a, b = [], []
         for i in left:
             j = right[node[right] > node[i]] if lo == hi else right
-            j = j[root[j] != root[i]]
-            if len(j):
-                j = j[both.may(i, j)]
-                a.append(np.full(len(j), node[i]))
-                b.append(node[j])
+            j = j[label[j] != label[i]]
+            if not len(j):
+                continue
+            ok, bound = both.may(i, j)
+            j = j[ok]
+            if not all_ and len(j):
+                j = j[np.lexsort((-bound[ok], label[j]))]
+                j = j[_runs(label[j])]  # the likeliest of each component, which then counts as joined
+                label[np.isin(label, label[j])] = label[i]
+            a.append(np.full(len(j), node[i]))
+            b.append(node[j])
         none = np.zeros(0, np.int64)
         return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
@@ -352,11 +363,14 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     stars = written(got.filter("kind = 1").select("a", "b").distinct(), "near-stars")
     links = _verified(_possible(stars, documents, num, den), docs, documents, words, num, den)
     roots = components(links)
-    members = got.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node"))
-    more = written(_left_over(members, documents, roots, num, den).join(stars, ["a", "b"], "left_anti"), "near-more")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, docs, documents, words, num, den))
-        roots = components(links)
+    members = written(got.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct(), "near-members")
+    tried = stars
+    for all_ in (False, True):
+        more = written(_left_over(members, documents, roots, num, den, all_).join(tried, ["a", "b"], "left_anti"), "near-more")
+        if not more.isEmpty():
+            links = links.unionByName(_verified(more, docs, documents, words, num, den))
+            roots = components(links)
+            tried = tried.unionByName(more)
     linked = small_join(documents.filter("size > 0").select("node", "doc_id", "size"), roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = written(linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "near-names")
     out = small_join(linked, names, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
