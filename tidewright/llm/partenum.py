@@ -283,7 +283,8 @@ def _facts(docs_of: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _left_over(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: int, den: int, all_: bool) -> DataFrame:
     """Pairs (a, b) of one bucket in different components that the sketches don't rule out: all of them, or only a forest of
-    the likeliest ones that would join each tile's components if all were links."""
+    the likeliest ones that would join each tile's components if all were links; then a row (bucket, null) says that a bucket
+    may hold more."""
     m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = m.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
     m = written(m.join(open_.select("sig", F.ceil(F.col("n") / TILE).cast("int").alias("c")), "sig"), "near-open")
@@ -292,25 +293,28 @@ def _left_over(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: in
     m = m.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).join(facts, "node")
     m = m.select("sig", "lo", "hi", "own", "node", "root", "size", "sketch").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "node")
 
-    def tile(lo: int, hi: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, both: Sketches) -> tuple[np.ndarray, np.ndarray]:
+    def tile(lo: int, hi: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, both: Sketches) -> tuple[np.ndarray, np.ndarray, bool]:
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         label = root.copy()
-        a, b = [], []
+        a, b, more = [], [], False
         for i in left:
             j = right[node[right] > node[i]] if lo == hi else right
-            j = j[label[j] != label[i]]
+            j = j[root[j] != root[i]]
+            n, j = len(j), j[label[j] != label[i]]
+            more |= len(j) < n
             if not len(j):
                 continue
             ok, bound = both.may(i, j)
             j = j[ok]
             if not all_ and len(j):
                 j = j[np.lexsort((-bound[ok], label[j]))]
+                more |= len(j) > len(_runs(label[j]))
                 j = j[_runs(label[j])]  # the likeliest of each component, which then counts as joined
                 label[np.isin(label, label[j])] = label[i]
             a.append(np.full(len(j), node[i]))
             b.append(node[j])
         none = np.zeros(0, np.int64)
-        return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+        return (np.concatenate(a), np.concatenate(b), more) if a else (none, none, more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -322,12 +326,16 @@ def _left_over(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: in
             raw = t.column(7).to_pylist()
             new = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1
             cuts = [0, *new.tolist(), t.num_rows]
-            a, b = [], []
+            a, b, again = [], [], set()
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if e - s > 1:
-                    x, y = tile(int(c[1][s]), int(c[2][s]), c[3][s:e], c[4][s:e], c[5][s:e], Sketches(raw[s:e], c[6][s:e].astype(np.int64), num, den))
+                    x, y, more = tile(int(c[1][s]), int(c[2][s]), c[3][s:e], c[4][s:e], c[5][s:e], Sketches(raw[s:e], c[6][s:e].astype(np.int64), num, den))
                     a.append(np.maximum(x, y))
                     b.append(np.minimum(x, y))
+                    if more:
+                        again.add(int(c[0][s]))
+            if again:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(again), pa.int64()), pa.nulls(len(again), pa.int64())], ["a", "b"])
             if a and sum(map(len, a)):
                 pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["a", "b"])
@@ -366,7 +374,9 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     members = written(got.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct(), "near-members")
     tried = stars
     for all_ in (False, True):
-        more = written(_left_over(members, documents, roots, num, den, all_).join(tried, ["a", "b"], "left_anti"), "near-more")
+        left = written(_left_over(members, documents, roots, num, den, all_), "near-left")
+        members = members.join(left.filter("b IS NULL").select(F.col("a").alias("sig")), "sig", "left_semi")
+        more = written(left.filter("b IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "near-more")
         if not more.isEmpty():
             links = links.unionByName(_verified(more, docs, documents, words, num, den))
             roots = components(links)
