@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import exact, html, media, mixing, packing, partenum, toxicity, urls, warc
+from tidewright.llm import exact, html, media, mixing, ngram, packing, partenum, toxicity, urls, warc
 from tidewright.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.scores(read(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
@@ -44,5 +48,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_html, op5_url_filter, op6_ngram_jaccard, op7_exact_dedup, op8_media, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_lm_scores, op4_html, op5_url_filter, op6_ngram_jaccard, op7_exact_dedup, op8_media, op9_warc, op10_toxicity)}
 ORACLE = {"op2_mixing": mixing.oracle(), "op5_url_filter": urls.SQL, "op7_exact_dedup": exact.SQL}
