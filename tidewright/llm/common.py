@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +25,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Lists that collect the tables written while a scratch() is open, innermost last.
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collects the paths of the tables written inside, for sweep() once nothing reads them any more."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        _open.pop()
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables."""
+    jvm = spark.sparkContext._jvm
+    while paths:
+        p = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet in the shared folder and read back: its lineage is cut, a lost executor costs a read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,6 +67,11 @@ def small_join(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: i
     return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
 
 
+def whole(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all of them in the struct _all: no column that an operator adds can clash with the documents'."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), *names)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

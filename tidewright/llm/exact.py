@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import SPACE, small_join, written
+from tidewright.llm.common import SPACE, small_join, whole, written
 
 #: Fingerprints expected in one merged filter; the number of shards follows from it and the rows.
 PER_SHARD = 1_000_000
@@ -138,11 +138,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns. Rows of one doc_id and text are told apart by nothing, so any of them
     is the one that stays."""
     _, dups = groups(docs)
-    d = docs.withColumn("_sha", F.unhex(F.sha2(normal(F.col("text")), 256)))
+    d = whole(docs, "doc_id", "text").withColumn("_sha", F.unhex(F.sha2(normal(F.col("text")), 256)))
     g = dups.select(F.col("sha").alias("_sha"), "keep_id", F.lit(True).alias("_many"))
     d = small_join(d, g, "_sha", "left").filter(F.col("_many").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    once = d.filter(F.col("_many").isNull()).select(*docs.columns)
-    return once.unionByName(d.filter("_many").dropDuplicates(["_sha"]).select(*docs.columns))
+    once = d.filter(F.col("_many").isNull()).select("_all.*")
+    return once.unionByName(d.filter("_many").dropDuplicates(["_sha"]).select("_all.*"))
 
 
 SQL = r"""SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)"""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import hash_unit, small_join, word_count, written
+from tidewright.llm.common import hash_unit, small_join, whole, word_count, written
 
 WEIGHTS, SHARE, MOST, BINS, SEED = (5.0, 2.0, 1.0), 1.5, 2, 4096, "mix"
 _LOW = -(2**63) + 1
@@ -73,7 +73,7 @@ def rank_key() -> Column:
 
 def plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(thin documents, the draw). The draw has one row per source and weight: rates, and the source's cut."""
-    thin = written(measured(docs).select("doc_id", "source", "_id", "_src", "size", "_w", "_u"), "mix-thin")
+    thin = written(measured(docs.select("doc_id", "text", "source")).select("doc_id", "source", "_id", "_src", "size", "_w", "_u"), "mix-thin")
     strata = written(thin.groupBy("_src", "source", "_w").agg(F.sum("size").alias("s")), "mix-strata")
     rate = written(rates(strata, targets(strata, weights, share, most), most), "mix-rates")
     keyed = small_join(thin, rate, ["_src", "_w"]).withColumn("_k", rank_key()).filter("_k IS NOT NULL").withColumn("_bin", F.floor(F.col("_k") * BINS))
@@ -113,8 +113,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mixed corpus itself: the documents' own columns, each row as often as it was drawn. Texts are not shuffled."""
     _, draw = plan(docs, weights, share, most)
-    out = drawn(measured(docs), draw)
-    return out.filter("copies > 0").withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    out = drawn(measured(whole(docs, "doc_id", "text", "source")), draw)
+    return out.filter("copies > 0").withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_all.*")
 
 
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import small_join, written
+from tidewright.llm.common import small_join, whole, written
 from tidewright.llm.components import components
 from tidewright.llm.shingles import WordHashes, identity, mix, shingles
 
@@ -356,7 +356,7 @@ def _left_over(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: in
 
 
 def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) per row; node names equal sets.
+    """(doc_id, n_shingles, node, component_id, root, print) per row; node names equal sets, root components, print texts.
 
     Null or empty texts have no shingles and are linked with nothing (component_id is their doc_id). Rows repeating a doc_id
     are documents of their own with that id; a null doc_id never names a component unless all its ids are null. Extra
@@ -381,13 +381,18 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
             links = links.unionByName(_verified(more, docs, documents, words, num, den))
             roots = components(links)
             tried = tried.unionByName(more)
-    linked = small_join(documents.filter("size > 0").select("node", "doc_id", "size"), roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = small_join(documents.filter("size > 0").select("node", "doc_id", "size", "print"), roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = written(linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "near-names")
-    out = small_join(linked, names, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.unionByName(documents.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), "node", F.col("doc_id").alias("component_id")))
+    out = small_join(linked, names, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"), "root", "print")
+    return out.unionByName(documents.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), "node", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), "print"))
 
 
 def representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of which one stays per component (the smallest doc_id), with all their columns. Rows without shingles stay."""
-    gone = join(docs, words, num, den).filter("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct()
-    return small_join(docs, written(gone, "near-gone"), "doc_id", "left_anti")
+    """The rows of which one stays per component (the smallest doc_id, null last), with all their columns. Rows without
+    shingles stay. Rows that repeat a doc_id and its text share their fate."""
+    key = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("i"), "print")
+    j = join(docs, words, num, den).filter("n_shingles > 0").select("root", key.alias("k"))
+    first = written(j.groupBy("root").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "near-first")
+    gone = written(small_join(j, first, "root").filter("k <> first").select("k").distinct(), "near-gone")
+    d = whole(docs, "doc_id", "text").select("_all", "doc_id", _print()).select("_all", key.alias("k"))
+    return small_join(d, gone, "k", "left_anti", rows=200_000).select("_all.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import written
+from tidewright.llm.common import whole, written
 
 #: Labelled rows that the classifier is fitted on, at most (those of the smallest hashes); everything else covers all rows.
 SAMPLE = 8000
@@ -65,7 +65,7 @@ def bucket(doc_id: Column, n: int) -> Column:
 
 def sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(doc_id, toxic) of at most ``most`` training rows. Repeated ids: toxic if any row says so. Null ids or labels go."""
-    rows = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(bucket(F.col("doc_id"), 3) != 1)
+    rows = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(bucket(F.col("doc_id"), 3) != 1)
     rows = rows.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     return written(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "toxic-sample")
 
@@ -167,7 +167,7 @@ class Neighbours:
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Neighbours:
     """Vocabulary and examples from the sample, document frequencies from all documents."""
     rows = sample(labels, most)
-    texts = documents.join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "text")  # at most ``most`` rows
+    texts = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "text")  # at most ``most`` rows
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -256,4 +256,4 @@ def toxicity(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Dat
 
 def clean(documents: DataFrame, training: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
-    return scored(documents, fit(training, labels, most)).filter(F.col("_score") < THRESHOLD).select(*documents.columns)
+    return scored(whole(documents, "text"), fit(training, labels, most)).filter(F.col("_score") < THRESHOLD).select("_all.*")
