@@ -11,8 +11,10 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+from tidewright.llm.worker import claim
+
 #: Words held per worker; a full cache is emptied, which costs time but changes nothing. Characters split at once.
-CACHE, CHUNK = 1_300_000, 2_000_000
+CACHE, CHUNK = 1_000_000, 2_000_000
 #: Python's split() takes these as white space, the vocabulary does not.
 ODD = "\x1c\x1d\x1e\x1f"
 #: Without these no lower-casing of the text can change what the vocabulary's normalisation composes.
@@ -50,6 +52,7 @@ class IdCache(dict):
             vocabulary = str(public_tokenizers.path("word_bpe_49k.json"))
         if vocabulary not in cls._shared:
             cls._shared[vocabulary] = cls(vocabulary)
+        claim("tokens", cls._shared[vocabulary])
         return cls._shared[vocabulary]
 
     @staticmethod

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import whole, written
+from tidewright.llm.worker import claim
 
 #: Labelled rows that the classifier is fitted on, at most (those of the smallest hashes); everything else covers all rows.
 SAMPLE = 8000
@@ -43,6 +44,7 @@ class Terms(dict):
 
     def __init__(self, vocabulary: list[str]):
         super().__init__()
+        claim("toxicity")
         self.ids = {t: i for i, t in enumerate(vocabulary)}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
