@@ -116,17 +116,20 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = WINDOW, batch: int = BATCH, piece: int = PIECE) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = WINDOW, batch: int = BATCH, piece: int = PIECE, cache: int | None = None) -> DataFrame:
     """Packs ``docs`` (doc_id, text); one row per piece.
 
-    vocabulary: path of a tokenizer file present on every executor (default: the public word vocabulary). A null or empty
+    vocabulary: path of a tokenizer file present on every executor (default: the public word vocabulary). cache: words that a
+    worker holds; fewer take less memory and more time. A null or empty
     text is the end id alone. Repeated rows are packed as often as they occur, a null doc_id stays null, other columns are
     ignored, an empty table gives no rows.
     """
-    from tidewright.llm.tokens import IdCache
+    from tidewright.llm.tokens import CACHE, IdCache
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, p = IdCache.shared(vocabulary), Packer(TaskContext.get().partitionId(), capacity, batch, piece)
+        ids = IdCache.shared(vocabulary)
+        ids.limit = cache or CACHE
+        p = Packer(TaskContext.get().partitionId(), capacity, batch, piece)
         for b in batches:
             texts = (t.as_py() or "" for t in b.column(1))
             for doc_id, got in zip(b.column(0).to_pylist(), ids.encode_many(texts), strict=True):

@@ -42,6 +42,7 @@ class IdCache(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.limit = CACHE
         self.tokenizer = Tokenizer.from_file(vocabulary)
 
     @classmethod
@@ -83,7 +84,7 @@ class IdCache(dict):
         yield from self._encode(held)
 
     def _encode(self, lists: list[list[str]]) -> Iterator[bytes]:
-        if len(self) > CACHE:
+        if len(self) > self.limit:
             self.clear()
         new = set().union(*lists).difference(self)
         if new:
