@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import small_join, whole, written
 from tidewright.llm.components import components
 from tidewright.llm.shingles import WordHashes, identity, mix, shingles
+from tidewright.llm.worker import release
 
 #: Differences up to which the subsets of three subparts are enumerated; parts beyond k + 1 of longer sets.
 SHORT, SLACK = 12, 2
@@ -175,6 +176,9 @@ def _emit(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     sig, who = signatures(np.concatenate([sets[i] for i in fresh]), np.array([len(sets[i]) for i in fresh]), bands)
                     owner = node[np.array(fresh)][who]
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(owner), pa.nulls(len(sig), pa.binary())], ["key", "node", "extra"])
+        hashes.clear()
+        del hashes, done
+        release()
 
     return docs.select("doc_id", "text", _print()).mapInArrow(run, "key long, node long, extra binary")
 
@@ -257,6 +261,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, docs_of: DataFrame, words: int,
                 ok.append(den * same >= num * (len(x) + len(y) - same))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], ["a", "b"])
+        hashes.clear()
+        release()
 
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
 
