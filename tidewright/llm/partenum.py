@@ -32,6 +32,8 @@ SHORT, SLACK = 12, 2
 TILE = 1024
 #: Documents handled together.
 GROUP = 256
+#: Most classes of a folded sketch.
+FOLD = 64
 
 
 class Bands:
@@ -267,11 +269,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, docs_of: DataFrame, words: int,
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
 
 
+def fold(sketch: bytes) -> bytes:
+    """A sketch of at most FOLD classes, a byte each; 255 for a count that isn't known."""
+    x = np.frombuffer(sketch, np.uint8)
+    n = np.stack([x >> 4, x & 15], 1).reshape(-1, min(FOLD, 2 * len(x)))
+    return np.where((n == 15).any(0), 255, np.minimum(n.sum(0, dtype=np.int64), 255)).astype(np.uint8).tobytes()
+
+
+def folds_may(size_a: np.ndarray, size_b: np.ndarray, a: list[bytes], b: list[bytes], num: int, den: int) -> np.ndarray:
+    """Which pairs can be similar by their sizes and folded sketches. Only sets of FOLD classes reach counts of 255, so a
+    count that isn't known is the greater one unless both sides have one: then nothing is ruled out."""
+    keep = (size_a * den >= size_b * num) & (size_b * den >= size_a * num)
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    for p, q in set(zip(m[keep].tolist(), n[keep].tolist(), strict=True)):
+        at = np.flatnonzero(keep & (m == p) & (n == q))
+        x, y = (np.frombuffer(b"".join(s[i] for i in at), np.uint8).reshape(len(at), -1, min(p, q)) for s in (a, b))
+        unknown = (x == 255).any((1, 2)) & (y == 255).any((1, 2))
+        bound = np.minimum(x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64)).sum(1)
+        keep[at] = unknown | ((den + num) * bound >= num * (size_a[at] + size_b[at]))
+    return keep
+
+
 def _possible(pairs: DataFrame, docs_of: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches don't rule out."""
+    """The pairs (a, b) that sizes and sketches don't rule out: folded sketches go through the shuffles first, whole ones only
+    for the pairs that are left."""
     facts = _facts(docs_of, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    a, b = (facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns]) for s in "ab")
-    p = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(map(fold, t.column(2).to_pylist()), pa.binary())], ["node", "size", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -280,7 +306,16 @@ def _possible(pairs: DataFrame, docs_of: DataFrame, num: int, den: int) -> DataF
             keep = pa.array([bool(Sketches([x, y], np.array([m, n]), num, den).may(0, np.array([1]))[0][0]) for m, n, x, y in each], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], ["a", "b"])
 
-    return p.mapInArrow(run, "a long, b long")
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keep = pa.array(folds_may(*(t.column(i).to_numpy() for i in (2, 3)), *(t.column(i).to_pylist() for i in (4, 5)), num, den))
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], ["a", "b"])
+
+    for of, f in ((facts.mapInArrow(folded, "node long, size long, sketch binary"), first), (facts, run)):
+        a, b = (of.select(*[F.col(c).alias(f"{c}_{s}") for c in of.columns]) for s in "ab")
+        p = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+        pairs = p.mapInArrow(f, "a long, b long")
+    return pairs
 
 
 def _facts(docs_of: DataFrame, nodes: DataFrame) -> DataFrame:
