@@ -80,23 +80,6 @@ def test_similar_sets_share_a_signature():
                 assert set(sig[who == 0]) & set(sig[who == 1]), (size, drop)
 
 
-def test_folded_sketches_rule_out_no_similar_pair():
-    r = np.random.default_rng(4)
-    for num in (80, 85):
-        pairs = []
-        for size in [1, 5, 20, 47, 90, 400, 3000, 40000]:
-            for gone in (0.0, 0.05, 0.1, 0.2, 0.6):
-                crowd = r.random() < 0.3  # many features of one class
-                a = np.unique(r.integers(0, 2**40, size).astype(np.uint64) << np.uint64(7 * crowd))
-                b = np.unique(np.concatenate([a[int(gone * size) :], r.integers(0, 2**63, int(gone * size / 3)).astype(np.uint64)]))
-                pairs += [(a, b), (b, a)] if len(b) else []
-        x, y = zip(*pairs, strict=True)
-        may = partenum.folds_may(np.array([len(a) for a in x]), np.array([len(b) for b in y]), *([partenum.fold(partenum.sketch(s)) for s in z] for z in (x, y)), num, 100)
-        same = np.array([len(np.intersect1d(a, b)) for a, b in pairs])
-        similar = np.array([100 * i >= num * (len(a) + len(b) - i) for (a, b), i in zip(pairs, same, strict=True)])
-        assert may[similar].all() and not may.all()
-
-
 def test_shingles_of_few_words():
     h = WordHashes()
     assert len(shingles(h.of(b""), 4)) == 0
