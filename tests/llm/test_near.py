@@ -66,16 +66,17 @@ def test_components_equal_brute_force(spark, words, num):
     assert len({c for _, c in want.values()}) < len(want) - 50
 
 
-def test_similar_sets_share_a_signature():
+@pytest.mark.parametrize("num", [80, 85])
+def test_similar_sets_share_a_signature(num):
     r = np.random.default_rng(3)
-    bands = Bands(85, 100)
+    bands = Bands(num, 100)
     for size in [1, 2, 7, 8, 13, 40, 75, 80, 120, 300, 1000]:
-        for _ in range(10):
+        for _ in range(30):
             a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
-            drop = int(len(a) * 0.15)
-            b = np.sort(a[drop:]) if r.random() < 0.5 else np.unique(np.concatenate([a, r.integers(0, 2**63, drop).astype(np.uint64)]))
+            drop = int(len(a) * r.choice([0.02, (100 - num) / 100, (100 - num) / 100]))
+            b = a[drop:] if r.random() < 0.3 else np.sort(r.permutation(a)[drop:]) if r.random() < 0.5 else np.unique(np.concatenate([a, r.integers(0, 2**63, drop).astype(np.uint64)]))
             i = len(np.intersect1d(a, b))
-            if 100 * i >= 85 * (len(a) + len(b) - i) and not np.array_equal(a, b):
+            if 100 * i >= num * (len(a) + len(b) - i) and not np.array_equal(a, b):
                 sig, who = signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), bands)
                 assert set(sig[who == 0]) & set(sig[who == 1]), (size, drop)
 

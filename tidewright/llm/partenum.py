@@ -3,8 +3,11 @@
 Sets are put into bands of sizes so that similar sets lie in one band or in neighbouring ones. In a band similar sets differ in
 at most k features. The feature domain is cut into n1 parts, each into n2; in some part at most k2 = k / n1 features differ, so
 some n2 - k2 of its subparts agree: a signature is the content of such a subset of subparts, and similar sets share one. A set
-has the signatures of its own band and of the next one. Long sets use k2 = 0 (the subsets are the parts themselves) and a few
-parts more than k + 1, so that parts without features need not be signatures; short ones use n2 = 3, k2 = 1.
+has the signatures of its own band and of the next one. Long sets use k2 = 0 (the subsets are the parts themselves); short ones
+use n2 = 3, k2 = 1. Long sets have more parts than k + 1. Sets that differ in at most d features agree in n1 - d parts, so each
+may leave out its n1 - d - 1 least parts in any order that depends on a part's content alone: the greatest part that they agree
+in is left out by neither. The order is by number of features, as parts of few features are shared by chance or by a common
+passage; d is the most that a set of this size can differ from a similar one of the band.
 
 Sets that are equal are one node from the start. Buckets of a signature are not expanded into pairs: each member is compared
 with the bucket's least member, components are formed, and only members of different components are looked at again, in tiles
@@ -55,6 +58,15 @@ class Bands:
         each = np.array([int(2 * r * (1 - g) / (1 + g)) for r in self.ends], np.int64)
         return each[band]
 
+    def partners(self, size: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """The most features in which a set of a size can differ from a similar one of a band; 0 if none can be similar
+        without being equal."""
+        self.differences(band)
+        num, den = self.g.numerator, self.g.denominator
+        ends = np.array([0, *self.ends], np.int64)
+        most = np.minimum(ends[band + 1], size * den // num)
+        return np.where(most > ends[band], (size + most) * (den - num) // (den + num), 0)
+
 
 def _runs(keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal keys."""
@@ -71,9 +83,10 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.nd
     for up in (0, 1):
         inst = band + up
         k = bands.differences(inst)
+        mine = bands.partners(sizes, inst)
         short = (k > 0) & (k <= SHORT)
         n1 = np.where(short, k // 2 + 1, k + 1 + SLACK)
-        fine = np.where(k == 0, 0, np.where(short, 3 * n1, n1))  # equal sets alone need no signature
+        fine = np.where(mine == 0, 0, np.where(short, 3 * n1, n1))  # equal sets alone need no signature
         base = np.concatenate([[0], np.cumsum(fine)]).astype(np.int64)
         if not base[-1]:
             continue
@@ -82,16 +95,18 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.nd
         starts = _runs(at)  # the parts are ranges of the hash, and each set is sorted
         dense = np.zeros(base[-1], np.uint64)
         dense[at[starts]] = np.add.reduceat(content[use], starts)
-        full = np.zeros(base[-1], bool)
-        full[at[starts]] = True
         part = np.repeat(np.arange(len(sizes)), fine)
         index = np.arange(base[-1]) - base[part]
         salt = mix(inst[part].astype(np.uint64) * np.uint64(1 << 32) + index.astype(np.uint64) + np.uint64(1))
-        long_ = ~short[part]
-        empty = np.bincount(part[~full], minlength=len(sizes))
-        take = long_ & (full | (empty > SLACK)[part])
-        out.append((mix(dense[take] + salt[take]), part[take]))
-        three = np.flatnonzero(~long_)
+        long_ = np.flatnonzero(~short[part])
+        if len(long_):
+            held = np.zeros(base[-1], np.int64)
+            held[at[starts]] = np.diff(np.append(starts, len(at)))
+            order = long_[np.lexsort((index[long_], dense[long_], held[long_], part[long_]))]
+            place = np.arange(len(order)) - _runs(part[order])[np.cumsum(np.concatenate([[0], part[order][1:] != part[order][:-1]]))]
+            take = order[place >= (n1 - mine - 1)[part[order]]]
+            out.append((mix(dense[take] + salt[take]), part[take]))
+        three = np.flatnonzero(short[part])
         if len(three):
             s = dense[three].reshape(-1, 3)
             rest = s.sum(1, dtype=np.uint64)[:, None] - s
