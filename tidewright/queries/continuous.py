@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.operators import reshape
 from tidewright.queries.batch import KEY, _state_sql, log_of
 from tidewright.streaming.runner import ContinuousQuery, StateTable, ViewRunner, changelog_stream
 
@@ -52,8 +53,26 @@ def stream_topn(spark: SparkSession, sf: str) -> DataFrame:
     return last.filter("r._delta IN ('add', 'update')").select(*KEY, "r.value")
 
 
-QUERIES |= {"stream_filter": stream_filter, "stream_view": stream_view, "stream_topn": stream_topn}
+def stream_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """A pivot kept up per anchor: rows of an anchor that a batch touched are pivoted again."""
+    band = F.when(F.col("value") > 50, "hi").otherwise("lo")
+    pivoted = lambda d: reshape.pivot(d.withColumn("band", band), "band", ["hi", "lo"], {"n": ("count", "*")}, ["event_type"])
+    q, _ = _run(spark, sf, kind="aggregate", groups=["event_type"], query=pivoted)
+    return ViewRunner(q, ["event_type"]).read(spark)
+
+
+def stream_join_view(spark: SparkSession, sf: str) -> DataFrame:
+    """A view over the state joined with another topic, kept up by group deltas."""
+    nation = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_regionkey")
+    joined = lambda d: d.join(nation, F.col("user_id") % 25 == F.col("n_nationkey")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("n_regionkey").alias("regions"))
+    q, _ = _run(spark, sf, kind="aggregate", groups=["event_type"], query=joined)
+    return ViewRunner(q, ["event_type"]).read(spark)
+
+
+QUERIES |= {"stream_pivot": stream_pivot, "stream_join_view": stream_join_view, "stream_filter": stream_filter, "stream_view": stream_view, "stream_topn": stream_topn}
 ORACLE |= {
+    "stream_pivot": f"SELECT event_type, count(CASE WHEN value > 50 THEN 1 END) AS hi, count(CASE WHEN value > 50 THEN NULL ELSE 1 END) AS lo FROM {_state_sql('true')} GROUP BY event_type",
+    "stream_join_view": f"SELECT event_type, count(*) AS n, CAST(sum(n_regionkey) AS BIGINT) AS regions FROM {_state_sql('true')} s JOIN nation ON s.user_id % 25 = n_nationkey GROUP BY event_type",
     "stream_filter": f"SELECT user_id, value FROM {_state_sql('true')} WHERE value > 50",
     "stream_view": f"SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM {_state_sql('true')} GROUP BY event_type",
     "stream_topn": f"SELECT user_id, value FROM {_state_sql('true')} ORDER BY value DESC NULLS LAST, user_id LIMIT 10",
