@@ -176,6 +176,30 @@ def test_lm_scores_equal_brute_force(spark):
         assert x["base_score"] == pytest.approx(sum(map(math.log10, one))) and x["score"] == pytest.approx(sum(map(math.log10, both)))
 
 
+def test_codes_hold_any_count(tmp_path):
+    counts = np.array([0, 1, 100, 101, 749_894, 750_000, 1_000_000, 14_000_000, 10**10, 2**62])
+    assert ngram.value(ngram.code(counts)) == pytest.approx(counts, rel=0.03)
+    assert (ngram.unpack_codes(ngram.pack_codes(ngram.code(counts))) == ngram.code(counts)).all()
+    keys = np.arange(1, len(counts), dtype=np.uint64) << np.uint64(31)
+    (tmp_path / "trie").write_bytes(ngram.Trie.build(keys, counts[1:]))
+    found = ngram.Trie(str(tmp_path / "trie")).find(np.append(keys, np.uint64(5)))
+    assert ngram.value(found) == pytest.approx(np.append(counts[1:], 0), rel=0.03)
+
+
+def test_lm_scores_of_a_bigram_above_the_old_cap(spark):
+    n = 2_000_000
+    rows = [(d, "a " * n if d == 0 else "a") for d in range(10)]
+    train = [d for d, _ in rows if zlib.crc32(str(d).encode()) % 5 != 1]
+    assert 0 in train
+    x = ngram.scores(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 0").first()
+    a, e = n + len(train) - 1, len(train)
+    p1 = lambda c: (c + 0.5) / (a + e + 0.5 * 3)
+    given_a = lambda c, w: math.log10((c + ngram.MU * p1(w)) / (a + ngram.MU))
+    start = math.log10((len(train) + ngram.MU * p1(a)) / (len(train) + ngram.MU))
+    want = start + (n - 1) * given_a(n - 1, a) + given_a(len(train), e)
+    assert x["score"] == pytest.approx(want, abs=0.02 * n)  # a step of the codes; the cap took 0.44 off each token
+
+
 def test_nearest_is_exact():
     r = np.random.default_rng(0)
     def unit():

@@ -1,14 +1,14 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 The model is an interpolated bigram model: P(w | v) = (c(v w) + mu * P1(w)) / (c(v) + mu), with P1 the smoothed unigram
-probability; it sums to one, because c(v) is the sum of c(v w). It is spread over shards by the hash of the n-gram, so a
-frequent word fills no shard. A shard's trie has sorted contexts, monotone pointers into the successors, the successors of
-each context in ascending order made monotone by their context's number, and for each n-gram one byte for the quantised
-logarithm of its joint probability. All monotone sequences are Elias-Fano coded; the levels are written to one file and
+probability; it sums to one up to the quantisation, because c(v) is the sum of c(v w). It is spread over shards by the hash
+of the n-gram, so a frequent word fills no shard. A shard's trie has sorted contexts, monotone pointers into the successors, the successors of
+each context in ascending order made monotone by their context's number, and for each n-gram two bytes for the quantised
+logarithm of its joint probability, which hold any count. All monotone sequences are Elias-Fano coded; the levels are written to one file and
 mapped into memory; a query is a successor search for the context and, relative to it, for the word.
 
 Corpus blocks ask and shards answer: a block sends each shard its own distinct n-grams with their training counts, the shard
-adds up all blocks' counts, builds its trie and answers every block in the order in which it asked, one byte an n-gram. No
+adds up all blocks' counts, builds its trie and answers every block in the order in which it asked, one code an n-gram. No
 vocabulary or model is collected or broadcast, and what is gathered grows with the corpus.
 """
 
@@ -39,7 +39,7 @@ def code(counts: np.ndarray) -> np.ndarray:
     """0 for none, the count itself up to EXACT, then logarithmic steps."""
     c = np.maximum(counts, 1)
     high = EXACT + np.ceil(np.log10(c / EXACT) / STEP)
-    return np.where(counts <= EXACT, counts, np.minimum(high, 255)).astype(np.uint8)
+    return np.where(counts <= EXACT, counts, high).astype("<u2")  # the largest 64-bit count has code 779
 
 
 def value(codes: np.ndarray) -> np.ndarray:
@@ -47,6 +47,15 @@ def value(codes: np.ndarray) -> np.ndarray:
     return np.where(c <= EXACT, c, EXACT * 10 ** ((c - EXACT - 0.5) * STEP))
 
 
+def pack_codes(codes: np.ndarray) -> bytes:
+    """All low bytes, then all high bytes, which are nearly all 0, compressed."""
+    return zlib.compress(codes.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, -1).T.copy().view("<u2").reshape(-1)
+
+
 class EliasFano:
     """A monotone sequence of 64-bit numbers: low bits packed, high bits in unary."""
 
@@ -97,19 +106,19 @@ class Trie:
             levels.append(x)
             at += used + -used % 8
         self.contexts, self.pointers, self.words = levels
-        self.codes = data[at:]
+        self.codes = data[at:].view("<u2")
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The code of each key, 0 if it isn't there."""
         if not len(self.contexts):
-            return np.zeros(len(keys), np.uint8)
+            return np.zeros(len(keys), "<u2")
         context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
         c = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
         there = self.contexts[c] == context
         want = (c.astype(np.uint64) << np.uint64(32)) | word  # relative to the context: its number is the upper half
         w = np.minimum(np.searchsorted(self.words, want), len(self.words) - 1)
         inside = (w >= self.pointers[c]) & (w < self.pointers[c + 1])
-        return np.where(there & inside & (self.words[w] == want), self.codes[w], 0).astype(np.uint8)
+        return np.where(there & inside & (self.words[w] == want), self.codes[w], 0).astype("<u2")
 
 
 class Block:
@@ -206,7 +215,7 @@ def scores(docs: DataFrame, fold: int = 5, held: int = 1, mu: float = MU) -> Dat
             with file:
                 file.write(Trie.build(keys, joint))
             trie = Trie(file.name)
-            codes = [zlib.compress(trie.find(p).tobytes(), 1) for p in asked_pairs]
+            codes = [pack_codes(trie.find(p)) for p in asked_pairs]
         finally:
             os.unlink(file.name)
         replies = []
@@ -235,10 +244,10 @@ def scores(docs: DataFrame, fold: int = 5, held: int = 1, mu: float = MU) -> Dat
         if len(own) != 1 or len(pdf) != n + 1:
             raise ValueError("the documents' partitions changed between two readings")
         k = _Keyed(own["payload"].iloc[0])
-        counts, codes = np.zeros(k.words, np.int64), np.zeros(k.pairs, np.uint8)
+        counts, codes = np.zeros(k.words, np.int64), np.zeros(k.pairs, "<u2")
         for s, c, q in zip(pdf["shard"], pdf["counts"], pdf["codes"], strict=True):
             if s >= 0:
-                w, p = np.frombuffer(zlib.decompress(c), "<u4"), np.frombuffer(zlib.decompress(q), np.uint8)
+                w, p = np.frombuffer(zlib.decompress(c), "<u4"), unpack_codes(q)
                 if len(w) != (k.of_words == s).sum() or len(p) != (k.of_pairs == s).sum():
                     raise ValueError("the documents' partitions changed between two readings")
                 counts[k.of_words == s], codes[k.of_pairs == s] = w, p
