@@ -230,3 +230,30 @@ def test_toxicity_learns_and_ignores_the_rest(spark):
     assert {x["predicted"] for x in out if x["doc_id"] >= 600} == {0} and all(0 <= x["score"] <= 1 for x in out)
     none = toxicity.toxicity(spark.createDataFrame(rows[:3], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.count() == 3
+
+
+def test_toxicity_searches_all_terms_for_every_document(spark):
+    r = random.Random(3)
+    words = [f"w{i}x" for i in range(300)]
+    rows = [(d, " ".join(r.choice(words) for _ in range(20))) for d in range(200)]
+    train = [d for d in range(200) if zlib.crc32(str(d).encode()) % 3 != 1]
+    rare = train[:3]  # an insult in fewer than five examples
+    rows = [(d, x + " grobiana" * (d in rare)) for d, x in rows] + [(900, "grobiana " + " ".join(words[:9])), (901, None), (902, "unseen")]
+    labels = [(d, int(d in rare)) for d in range(200)]
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = {x["doc_id"]: x for x in toxicity.toxicity(*frames).collect()}
+    assert all(len(out[d]["evidence"]) == toxicity.NEIGHBOURS for d in [*range(200), 900] if d not in rare)
+    assert set(out[900]["evidence"][:3]) == set(rare) and out[900]["score"] > max(out[d]["score"] for d in out if d not in (*rare, 900))
+    assert out[901]["evidence"] == out[902]["evidence"] == []
+
+    # all cosines by brute force
+    terms = {d: Counter(t for w in (x or "").split() for t in toxicity.terms_of(w)) for d, x in rows}
+    df = Counter(t for c in terms.values() for t in c)
+    pos, neg = (Counter(t for d in train for t in terms[d] if (d in rare) == v) for v in (True, False))
+    weight = lambda t: (math.log((len(rows) + 1) / (df[t] + 1)) + 1) * math.log2(2 + pos[t] / max(1, neg[t])) ** toxicity.RELEVANCE
+    known = {t for d in train for t in terms[d]}
+    vector = {d: {t: (1 + math.log(n)) * weight(t) for t, n in c.items() if t in known} for d, c in terms.items()}
+    norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    for d in [5, 60, 120, 900]:
+        cosine = lambda e: sum(w * vector[e].get(t, 0) for t, w in vector[d].items()) / norm(vector[d]) / norm(vector[e])
+        assert out[d]["evidence"] == sorted(train, key=lambda e: (-round(cosine(e), 10), e))[:15]

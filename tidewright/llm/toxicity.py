@@ -1,32 +1,36 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings (insults are inflected); those that go with the toxic label in a bounded sample of
-labelled documents are the vocabulary, weighted by their document frequency over the whole corpus. The sample's vectors form
-an inverted index whose postings are cut into blocks of neighbouring examples, with the largest weight of each term in each
-block. A query adds these maxima up to a bound for every block, opens blocks by falling bound and stops when no block can
-hold a better neighbour than those found: exact, not approximate. Neighbours vote with weights that fall with distance; the
-share of votes is calibrated by isotonic regression on the examples themselves, each left out of its own vote.
+Terms are words and word beginnings (insults are inflected). All terms of a bounded sample of labelled documents are indexed,
+weighted by their document frequency over the whole corpus and by how much more often toxic examples hold them; no term,
+example or document is left out. Every document's cosine with every example is computed: the terms of most examples by a
+matrix product, the others by their postings. Neighbours vote with weights that fall with distance; the share of votes is
+calibrated by isotonic regression on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import whole, written
-from tidewright.llm.worker import claim
+from tidewright.llm.worker import claim, release
 
 #: Labelled rows that the classifier is fitted on, at most (those of the smallest hashes); everything else covers all rows.
 SAMPLE = 8000
-#: Terms of the vocabulary, at most; the least evidence (log-likelihood ratio) and examples of each.
-TERMS, EVIDENCE, LEAST = 2048, 25.0, 5
-NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.7
+#: The weight of a term is its idf times log2(2 + toxic examples / other examples) to this power: 1 or more for every term.
+RELEVANCE = 2
+NEIGHBOURS, THRESHOLD = 15, 0.7
+#: Terms whose cosines come from the matrix product, at most; queries, and characters of texts, at once.
+FREQUENT, QUERIES, CHUNK = 256, 64, 1_000_000
 #: Lengths of the word beginnings used beside the word.
 HEADS = (4, 5, 6)
 _TRIM = ".,;:!?\"'()[]{}<>«»“”„…*_-–—"
@@ -40,24 +44,49 @@ def terms_of(word: str) -> list[str]:
 
 
 class Terms(dict):
-    """word -> ids of its selected terms."""
+    """word -> row of ``table``: the ids of the word's terms, -1 for none."""
 
     def __init__(self, vocabulary: list[str]):
         super().__init__()
         claim("toxicity")
         self.ids = {t: i for i, t in enumerate(vocabulary)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = self[word] = tuple(self.ids[t] for t in terms_of(word) if t in self.ids)
+        self.table, self.rows = np.full((1 << 12, 1 + len(HEADS)), -1, np.int64), 1
+
+    def __missing__(self, word: str) -> int:
+        ids = [self.ids[t] for t in terms_of(word) if t in self.ids]
+        if ids:
+            if self.rows == len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+            self.table[self.rows, : len(ids)] = ids
+            self.rows += 1
+        found = self[word] = self.rows - 1 if ids else 0
         return found
 
-    def count(self, text: str) -> Counter:
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the text, term, occurrences) of all terms of the texts, in order."""
         if len(self) > _CACHE:
             self.clear()
-        out: Counter = Counter()
-        for ids in filter(None, map(self.__getitem__, text.lower().split())):
-            out.update(ids)
-        return out
+            self.table[:], self.rows = -1, 1
+        words = [t.lower().split() for t in texts]
+        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64)
+        ids = self.table[rows]
+        keys = (np.repeat(np.arange(len(texts)), [len(w) for w in words])[:, None] << 32 | ids)[ids >= 0]
+        keys, n = np.unique(keys, return_counts=True)
+        return keys >> 32, keys & 0xFFFFFFFF, n
+
+
+def chunks(column: Iterable) -> Iterator[list[str]]:
+    """The texts in lists of about CHUNK characters; null is empty."""
+    out: list[str] = []
+    size = 0
+    for x in column:
+        out.append(x.as_py() or "")
+        size += len(out[-1])
+        if size >= CHUNK:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
 
 
 def bucket(doc_id: Column, n: int) -> Column:
@@ -73,42 +102,56 @@ def sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 class BlockMaxIndex:
-    """Exact top-k by cosine over sparse non-negative vectors."""
+    """Exact top-k by cosine over sparse non-negative vectors, all of which are scored: documents share common words with
+    so many examples that bounds by block rule out too little. Vectors are {term: weight} or (terms, weights)."""
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
+    def __init__(self, vectors: list, terms: int):
         """vectors: unit length, in the order of ids."""
-        self.n, self.blocks = len(vectors), -(-max(1, len(vectors)) // BLOCK)
-        rows: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                rows[t].append((i, w))
-        self.docs = [np.array([i for i, _ in r], np.int64) for r in rows]
-        self.weights = [np.array([w for _, w in r]) for r in rows]
-        self.cuts = [np.searchsorted(d, np.arange(self.blocks + 1) * BLOCK) for d in self.docs]
-        self.most = np.zeros((terms, self.blocks))
-        for t, (d, w) in enumerate(zip(self.docs, self.weights, strict=True)):
-            if len(d):
-                np.maximum.at(self.most[t], d // BLOCK, w)
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+        pairs = [self.pair(v) for v in vectors]
+        self.n = len(pairs)
+        term = np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, np.int64)
+        order = np.argsort(term, kind="stable")
+        self.docs = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in pairs])[order]
+        self.weights = (np.concatenate([w for _, w in pairs]) if pairs else np.zeros(0))[order]
+        self.sizes = np.bincount(term, minlength=terms)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        often = np.argsort(-self.sizes, kind="stable")[:FREQUENT]
+        self.place = np.full(terms, -1, np.int64)
+        self.place[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n))
+        for i, t in enumerate(often.tolist()):
+            a, z = self.starts[t], self.starts[t] + self.sizes[t]
+            self.dense[i, self.docs[a:z]] = self.weights[a:z]
+
+    @staticmethod
+    def pair(v) -> tuple[np.ndarray, np.ndarray]:
+        return (np.array(list(v), np.int64), np.array(list(v.values()), float)) if isinstance(v, dict) else v
+
+    def nearest(self, query, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, id) of the k best with a cosine above 0, best first; of equal ones the smaller ids."""
-        if not query:
-            return []
-        ts = list(query)
-        bound = np.array([query[t] for t in ts]) @ self.most[ts]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t in ts:
-                a, z = self.cuts[t][b], self.cuts[t][b + 1]
-                if z > a:
-                    score[self.docs[t][a:z] - b * BLOCK] += query[t] * self.weights[t][a:z]
-            hit = np.flatnonzero(score > 0)
-            best += [(-round(float(score[j]), 12), b * BLOCK + j) for j in hit.tolist() if b * BLOCK + j != without]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+        return self.nearest_of([query], k, [without])[0]
+
+    def nearest_of(self, queries: list, k: int, without: list[int]) -> list[list[tuple[float, int]]]:
+        pairs = [self.pair(q) for q in queries]
+        often = np.zeros((len(pairs), len(self.dense)))
+        for i, (t, w) in enumerate(pairs):
+            at = self.place[t]
+            often[i, at[at >= 0]] = w[at >= 0]
+        scores = often @ self.dense
+        out = []
+        for (t, w), s, own in zip(pairs, scores, without, strict=True):
+            rare = self.place[t] < 0
+            size = self.sizes[t[rare]]
+            at = np.repeat(self.starts[t[rare]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            s += np.bincount(self.docs[at], self.weights[at] * np.repeat(w[rare], size), self.n)
+            if own >= 0:
+                s[own] = 0
+            least = np.partition(s, self.n - k)[self.n - k] - 1e-11 if self.n > k else 0.0
+            hit = np.flatnonzero((s > 0) & (s >= least))
+            value = np.round(s[hit], 12)
+            best = np.lexsort((hit, -value))[:k]
+            out.append(list(zip(value[best].tolist(), hit[best].tolist(), strict=True)))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,117 +171,136 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Neighbours:
-    """The fitted classifier: index, labels, calibration."""
-
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
-        self.vocabulary, self.idf = vocabulary, idf
-        held = [(d, y, self.vector(c)) for d, y, c in examples]
-        blank = [y for _, y, v in held if not v]
-        held = [h for h in held if h[2]]
-        held.sort(key=lambda h: (max(h[2], key=h[2].get), h[0]))  # alike examples share blocks
-        self.ids, self.labels = [h[0] for h in held], [h[1] for h in held]
-        self.index = BlockMaxIndex([h[2] for h in held], len(vocabulary))
+    """The classifier but for its calibration: index and labels. examples: (doc_id, label, terms, occurrences)."""
+
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
+        self.vocabulary = vocabulary
+        pos, neg = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for _, y, t, _ in examples if y == v)]), minlength=len(vocabulary)) for v in (1, 0))
+        self.weights = idf * np.log2(2 + pos / np.maximum(1, neg)) ** RELEVANCE
+        blank = [y for _, y, t, _ in examples if not len(t)]  # no words at all
+        self.held = [(t.astype(np.int32), n.astype(np.int32)) for _, _, t, n in examples if len(t)]
+        self.ids, self.labels = [d for d, _, t, _ in examples if len(t)], [y for _, y, t, _ in examples if len(t)]
         labels = self.labels + blank
         self.prior = (sum(labels) + 1) / (len(labels) + 2)
         self.blank = min((sum(blank) + self.prior) / (len(blank) + 1), self.prior)
-        raw = np.array([self.votes(h[2], i)[0] for i, h in enumerate(held)])
-        self.ends, self.values = isotonic(raw, np.array(self.labels, float)) if held else (np.array([1.0]), np.array([self.prior]))
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
-
-    def votes(self, v: dict[int, float], without: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(v, NEIGHBOURS, without)
-        weight = [1 / (1.05 - s) for s, _ in near]
-        total = sum(w * self.labels[i] for w, (_, i) in zip(weight, near, strict=True))
-        return (total + self.prior) / (sum(weight) + 1), near
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """(probability, ids of the examples that voted)."""
-        v = self.vector(counts)
-        if not v:
-            return self.blank, []
-        raw, near = self.votes(v)
-        at = min(int(np.searchsorted(self.ends, raw)), len(self.values) - 1)
-        p = 0.98 * float(self.values[at]) + 0.02 * raw  # keeps the order of raw votes within a pool
-        return min(1.0, max(0.0, p)), [self.ids[i] for _, i in near]
-
-
-def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Neighbours:
-    """Vocabulary and examples from the sample, document frequencies from all documents."""
+        self._index: BlockMaxIndex | None = None
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        """Made where it is first used, once a worker; the driver never needs it."""
+        if self._index is None:
+            self._index = BlockMaxIndex([self.vector(*h) for h in self.held], len(self.vocabulary))
+            release()
+        return self._index
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weights[terms]
+        return terms.astype(np.int64), w / math.sqrt(w @ w) if len(w) else w
+
+    def votes(self, vectors: list, without: list[int]) -> list[tuple[float, list[int]]]:
+        out = []
+        for near in self.index.nearest_of(vectors, NEIGHBOURS, without):
+            weight = [1 / (1.05 - s) for s, _ in near]
+            total = sum(w * self.labels[i] for w, (_, i) in zip(weight, near, strict=True))
+            out.append(((total + self.prior) / (sum(weight) + 1), [self.ids[i] for _, i in near]))
+        return out
+
+    def left_out(self, numbers: list[int]) -> list[float]:
+        """The votes on these examples, each left out of its own."""
+        return [v for v, _ in self.votes([self.vector(*self.held[i]) for i in numbers], numbers)]
+
+    def score(self, queries: list[tuple[np.ndarray, np.ndarray]], ends: np.ndarray, values: np.ndarray) -> list[tuple[float, list[int]]]:
+        """(probability, ids of the examples that voted) of each (terms, occurrences), none of them empty."""
+        out = []
+        for raw, near in self.votes([self.vector(*q) for q in queries], [-1] * len(queries)):
+            at = min(int(np.searchsorted(ends, raw)), len(values) - 1)
+            p = 0.98 * float(values[at]) + 0.02 * raw  # keeps the order of raw votes within a pool
+            out.append((min(1.0, max(0.0, p)), near))
+        return out
+
+
+def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Broadcast, np.ndarray, np.ndarray]:
+    """Examples and all their terms from the sample, document frequencies from all documents; (classifier, calibration)."""
+    spark = documents.sparkSession
     rows = sample(labels, most)
     texts = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "text")  # at most ``most`` rows
 
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        total = [0, 0]
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for y, text in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                total[y] += 1
-                found = {t for w in set((text.as_py() or "").lower().split()) for t in terms_of(w)}
-                seen[y].update(found)
-        names = list(seen[0] | seen[1])
-        cols = [pa.array(["", *names]), *(pa.array([total[y], *(seen[y][n] for n in names)], pa.int64()) for y in (0, 1))]
-        yield pa.RecordBatch.from_arrays(cols, ["term", "neg", "pos"])
-
-    counts = texts.mapInArrow(evidence, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    counts = written(counts.filter(f"term = '' OR pos >= {LEAST}"), "toxic-terms")
-    total = counts.filter("term = ''").first()
-    n0, n1 = (total["neg"], total["pos"]) if total else (0, 0)
-    vocabulary: list[str] = []
-    if n0 and n1:
-        xlogx = lambda a, e: F.when(a > 0, a * F.log(a / e)).otherwise(0.0)
-        a, b, n = F.col("pos").cast("double"), F.col("neg").cast("double"), float(n0 + n1)
-        df = a + b
-        g2 = 2 * (xlogx(a, df * n1 / n) + xlogx(b, df * n0 / n) + xlogx(n1 - a, (n - df) * n1 / n) + xlogx(n0 - b, (n - df) * n0 / n))
-        best = counts.filter("term <> ''").withColumn("g2", g2).filter((F.col("g2") >= EVIDENCE) & (a / n1 > 2 * b / n0)).orderBy(F.desc("g2"), "term").limit(TERMS)
-        vocabulary = sorted(r["term"] for r in best.collect())
+            for d, y, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                c: Counter = Counter()
+                for w, n in Counter((text.as_py() or "").lower().split()).items():
+                    c.update(dict.fromkeys(terms_of(w), n))
+                names = sorted(c)
+                cols = [pa.array([d.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), pa.array(["\n".join(names)]), pa.array([np.array([c[t] for t in names], "<i4").tobytes()])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "terms", "tfs"])
+
+    got = texts.mapInArrow(own, "doc_id long, toxic int, terms string, tfs binary").collect()  # at most ``most`` rows
+    got.sort(key=lambda r: (r["doc_id"], r["terms"], r["tfs"]))
+    vocabulary = sorted(set(chain.from_iterable(r["terms"].split("\n") for r in got)) - {""})
+    number = {t: i for i, t in enumerate(vocabulary)}
+    examples = [(r["doc_id"], r["toxic"], np.array([number[t] for t in r["terms"].split("\n") if t], np.int32), np.frombuffer(r["tfs"], "<i4")) for r in got]
+    del got, number
+    shared = spark.sparkContext.broadcast(vocabulary)  # bounded: the sample's terms
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, seen, n = Terms(vocabulary), Counter(), 0
+        terms, n = Terms(shared.value), 0
+        seen = np.zeros(len(terms.ids), np.int64)
         for b in batches:
             n += b.num_rows
-            for text in b.column(0):
-                seen.update(terms.count(text.as_py() or "").keys())
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int64()), pa.array([n, *seen.values()], pa.int64())], ["term", "df"])
-
-    df = {r["term"]: r["df"] for r in documents.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}  # as many rows as terms
-    n = df.get(-1, 0)
-    idf = np.array([math.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(vocabulary))])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(vocabulary)
+            for part in chunks(b.column(0)):
+                seen += np.bincount(terms.count(part)[1], minlength=len(seen))
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, found)), pa.array(np.append(n, seen[found]))], ["term", "df"])
+
+    sums = documents.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # as many rows as terms
+    df, term, n = np.zeros(len(vocabulary)), sums["term"].to_numpy(), sums["df"].to_numpy()
+    df[term[term >= 0]] = n[term >= 0]
+    total = int(n[term < 0].sum())
+    model = Neighbours(vocabulary, np.log((total + 1) / (df + 1)) + 1, examples)
+    shared.unpersist()
+    fitted, labelled, prior = spark.sparkContext.broadcast(model), np.array(model.labels, float), model.prior  # bounded: the sample's vectors
+    del model, vocabulary, examples
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for b in batches:
-            c = [terms.count(t.as_py() or "") for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(x) for x in c], pa.list_(pa.int64())), pa.array([list(x.values()) for x in c], pa.list_(pa.int64()))], ["doc_id", "toxic", "ids", "tfs"])
+            ids = b.column(0).to_pylist()
+            for a in range(0, len(ids), QUERIES):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + QUERIES], pa.int64()), pa.array(fitted.value.left_out(ids[a : a + QUERIES]), pa.float64())], ["id", "raw"])
 
-    got = texts.mapInArrow(vectors, "doc_id long, toxic int, ids array<long>, tfs array<long>").collect()  # at most ``most`` rows
-    got.sort(key=lambda r: (r["doc_id"], r["ids"], r["tfs"]))
-    return Neighbours(vocabulary, idf, [(r["doc_id"], r["toxic"], dict(zip(r["ids"], r["tfs"], strict=True))) for r in got])
+    if not len(labelled):
+        return fitted, np.array([1.0]), np.array([prior])
+    got = spark.range(0, len(labelled), 1, 8).mapInArrow(votes, "id long, raw double").toArrow()  # at most ``most`` rows
+    raw = np.empty(len(labelled))
+    raw[got["id"].to_numpy()] = got["raw"].to_numpy()
+    return fitted, *isotonic(raw, labelled)
 
 
-def scored(docs: DataFrame, fitted: Neighbours) -> DataFrame:
+def scored(docs: DataFrame, fitted: tuple[Broadcast, np.ndarray, np.ndarray]) -> DataFrame:
     """All columns of ``docs`` and _score, _evidence (ids of the labelled neighbours)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(fitted)  # bounded: the sample's vectors
+    shared, ends, values = fitted
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         terms = Terms(model.vocabulary)
-        known: dict[tuple, tuple[float, list[int]]] = {}
+        known: dict[bytes, tuple[float, list[int]]] = {}
         for b in batches:
-            out = []
-            for text in b.column(at):
-                c = terms.count(text.as_py() or "")
-                key = tuple(sorted(c.items()))
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[key] = model.score(c)
-                out.append(known[key])
+            out: list[tuple[float, list[int]]] = []
+            for part in chunks(b.column(at)):
+                if len(known) > 100_000:
+                    known.clear()
+                text, ids, tfs = terms.count(part)
+                cut = np.searchsorted(text, np.arange(len(part) + 1))
+                queries = [(ids[a:z], tfs[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+                keys = [blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest() if len(t) else b"" for t, n in queries]
+                known[b""] = (model.blank, [])
+                new = {k: q for k, q in zip(keys, queries, strict=True) if k not in known}
+                for a in range(0, len(new), QUERIES):
+                    some = list(new)[a : a + QUERIES]
+                    known.update(zip(some, model.score([new[k] for k in some], ends, values), strict=True))
+                out += [known[k] for k in keys]
             cols = [*b.columns, pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "_score", "_evidence"])
 
@@ -249,7 +311,7 @@ def scored(docs: DataFrame, fitted: Neighbours) -> DataFrame:
 def toxicity(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every row.
 
-    Null or empty text has no terms and gets the rate of such examples; without usable labels every row gets the prior 0.5.
+    Text without a term of any example (null, empty) has no neighbours and gets the rate of such examples; without usable labels every row gets the prior 0.5.
     Scores depend on the text alone. Repeated rows are scored each; other columns are ignored.
     """
     s = scored(documents.select("doc_id", "text"), fit(documents, labels, most))
