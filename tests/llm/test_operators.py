@@ -142,6 +142,19 @@ def test_html_article_only():
     assert right / sum(len(lab) for _, lab in test) > 0.97
 
 
+def test_html_long_attributes_and_unclosed_elements():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    for q, other in ("\"'", "'\""):
+        value = f"data:image/svg+xml,<svg><path d={other}{'M0 1 ' * 4000}{other}/></svg><p>no"
+        assert texts(f"<p>one</p><div data-x={q}{value}{q} id=x>two</div><p><img src={q}{value}{q}>three") == ["one", "two", "three"]
+    assert texts("<p title=it's>one</p><p class=\"a\"\">two</p><p>it's three") == ["one", "two", "it's three"]
+    for tag in ("audio", "select", "svg", "object", "template"):
+        assert texts(f"<p>one</p><{tag} x=1><p>two</p><{tag}><p>three</p>") == ["one", "two", "three"]
+    for tag in html.RAW:
+        assert texts(f"<p>one</p><{tag}><p>two</p>") == ["one"]
+    assert texts("<p>one</p><svg><text>no</text></svg><p>two") == ["one", "two"]
+
+
 def test_viterbi_is_the_best_path():
     crf = html.model()
     for bs, _ in html.labelled_pages(10, seed=8):

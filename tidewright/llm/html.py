@@ -22,12 +22,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 OPAQUE = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select datalist".split())
+#: Of these, what HTML reads as raw text up to the end of file if they aren't closed; of the others only the tag is skipped then.
+RAW = frozenset("script style noscript textarea title iframe".split())
 #: A start tag closes open elements of these names up to the nearest element that holds them.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset("ul ol dl table body html article section main div nav aside header footer form blockquote td th".split())
 #: Block tags that close an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
-_TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,5000}"|'[^']{0,5000}')*)>)""", re.S)
+#: A quote opens a value only behind '='; values may have any length and hold '>'.
+_TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+)>)""", re.S)
+#: A tag whose quoted value never ends, which HTML reads to the end of file: it ends at the first '>' here.
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
@@ -55,6 +59,7 @@ def blocks(page: str, known: frozenset[str] | None = None) -> Iterator[Block]:
     stack: list[tuple[str, frozenset[str]]] = [("#", frozenset())]
     parts: list[str] = []
     linked, link, pos, n = 0, 0, 0, len(page)
+    unclosed: set[str] = set()
 
     def flush() -> Block | None:
         nonlocal linked
@@ -93,9 +98,12 @@ def blocks(page: str, known: frozenset[str] | None = None) -> Iterator[Block]:
                 link = 0 if closing else 1
             continue
         if name in OPAQUE and not closing:
-            if not m[3].endswith("/") or name in ("script", "style"):
+            if (not m[3].endswith("/") or name in ("script", "style")) and name not in unclosed:
                 end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, pos)
-                pos = end.end() if end else n
+                if end or name in RAW:
+                    pos = end.end() if end else n
+                else:
+                    unclosed.add(name)
             continue
         if b := flush():
             yield b
