@@ -104,6 +104,14 @@ def test_media_round_trip(odd, empty):
     assert (media.peaks(tone)[:, 2] == 20).all()
 
 
+def test_media_every_sample_has_weight():
+    flat = np.full(1024, 128, np.uint8)
+    for at in [0, 1, 127, 128, 254, 255, 256, 511, 512, 767, 1022]:
+        x = flat.copy()
+        x[at : at + 2] = 255, 0  # strongest in the highest bins, silence in the lowest
+        assert (media.fingerprint(x) != media.fingerprint(flat)).any(), at
+
+
 def test_warc_round_trip_and_salvage(spark):
     pages = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "http://c", ""), (9, "u", "x" * 300000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

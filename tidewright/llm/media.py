@@ -1,7 +1,7 @@
 """Media columns: a payload as 8-bit WAV, its spectrum's peaks paired into time-coded fingerprints.
 
-The bytes are stored as unsigned 8-bit mono samples, so nothing is lost. Frames of the samples go through a windowed
-Fourier transform; in each frame the strongest bin of each band is a peak; each peak is paired with the peaks of the next
+The bytes are stored as unsigned 8-bit mono samples, so nothing is lost. Frames of the samples, each half over the next, go through a
+windowed Fourier transform; in each frame the strongest bin of each band is a peak; each peak is paired with the peaks of the next
 frames, and a pair (bin, bin, distance) with its frame is one 64-bit entry, the frame in its upper half.
 """
 
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RATE, BLOCK, FRAME = 8000, 64, 256
+RATE, BLOCK, FRAME, HOP = 8000, 64, 256, 128
 #: Edges of the bands in bins, and how many frames ahead a peak is paired.
 BANDS, AHEAD = (1, 8, 16, 32, 64, 129), 2
 #: Frames transformed at once.
@@ -45,11 +45,12 @@ def from_wav(data: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """(frames, bands): the strongest bin of each band; the last frame is filled with the middle value."""
-    n = -(-len(samples) // FRAME)
-    x = np.full(n * FRAME, 128, np.uint8)
-    x[: len(samples)] = samples
-    frames = x.reshape(n, FRAME)
+    """(frames, bands): the strongest bin of each band; the first frame begins half a frame early, so that every sample is near
+    the middle of some frame, and what lies outside is filled with the middle value."""
+    n = -(-len(samples) // HOP) + 1
+    x = np.full((n + 1) * HOP, 128, np.uint8)
+    x[HOP : HOP + len(samples)] = samples
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
     out = np.empty((n, len(BANDS) - 1), np.int64)
     for a in range(0, n, CHUNK):
