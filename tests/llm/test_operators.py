@@ -163,6 +163,12 @@ def test_html_long_attributes_and_unclosed_elements():
     assert texts("<p>one</p><svg><text>no</text></svg><p>two") == ["one", "two"]
 
 
+def test_html_features_of_the_whole_text():
+    shape = lambda text: html.shape(html.Block(text, frozenset(), "p", 0))
+    assert {"copy", "bar"} <= set(shape("some words " * 30 + "© a | b")) and "num" in shape("word " * 41 + "12345 " * 90)
+    assert "num" not in shape("12345 " * 34 + "word " * 300)
+
+
 def test_viterbi_is_the_best_path():
     crf = html.model()
     for bs, _ in html.labelled_pages(10, seed=8):

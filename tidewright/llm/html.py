@@ -138,7 +138,7 @@ def shape(b: Block) -> list[str]:
     stops = sum(t.count(c) for c in ".!?;:,")
     size = 0 if n < 3 else 1 if n < 6 else 2 if n < 12 else 3 if n < 25 else 4 if n < 60 else 5
     links = b.linked / max(1, len(t))
-    low = t[:200].lower()
+    low = t.lower()
     return ["bias", f"n={b.tag}", f"w={size}", f"l={0 if links == 0 else 1 if links < 0.3 else 2 if links < 0.8 else 3}", f"s={0 if not stops else 1 if stops < n / 8 else 2}", f"e={t[-1] in '.!?'}", *(["copy"] if "©" in low or "copyright" in low else []), *(["bar"] if "|" in low or "»" in low or "·" in low else []), *(["num"] if sum(c.isdigit() for c in low) > len(low) / 4 else [])]
 
 
