@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.snapshot import META, two_states
+
 
 def _paired(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     a = before.select(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(keys)], F.struct("*").alias("_old"))
@@ -19,11 +21,11 @@ def _paired(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, on, "full")
 
 
-def classify(before: DataFrame, after: DataFrame, keys: list[str], where: str | None = None, touched: DataFrame | None = None) -> DataFrame:
+def classify(before: DataFrame, after: DataFrame, keys: list[str], where: str | None = None, touched: DataFrame | bool | None = None) -> DataFrame:
     """``_delta`` in add / update / oof / remove, and the row (the old one for oof and remove).
 
     add: enters the filter; update: stays in it and was touched; oof: leaves it by an update; remove: deleted. UNKNOWN
-    counts as not matching. touched: keys written in the interval (default: the rows that differ).
+    counts as not matching. touched: keys written in the interval, or True for all (default: the rows that differ).
     """
     flag = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
     p = _paired(before.withColumn("_in", flag), after.withColumn("_in", flag), keys)
@@ -36,12 +38,25 @@ def classify(before: DataFrame, after: DataFrame, keys: list[str], where: str |
     if touched is None:
         p = p.filter((F.col("_delta") != "update") | ~F.col("_old").eqNullSafe(F.col("_new")))
         return p.select("_delta", *key, *row)
+    if touched is True:
+        return p.select("_delta", *key, *row)
     t = touched.select(*keys).distinct().withColumn("_hit", F.lit(True))
     out = p.select("_delta", *key, *row)
     on = reduce(lambda x, y: x & y, [out[k].eqNullSafe(t[k]) for k in keys])
     return out.join(t, on, "left").filter((F.col("_delta") != "update") | F.col("_hit")).select("_delta", *[out[c] for c in out.columns[1:]])
 
 
+def net(changelog: DataFrame, keys: list[str], seq: int, where: str) -> DataFrame:
+    """What ``classify`` says of the states as of ``seq`` and of now, from one scan and one shuffle of the log."""
+    p = two_states(changelog.withColumn("_in", F.coalesce(F.expr(where), F.lit(False))), keys, seq)
+    was, now = F.coalesce(F.col("_old._in"), F.lit(False)), F.coalesce(F.col("_new._in"), F.lit(False))
+    gone = F.col("_new").isNull()
+    kind = F.when(~was & now, "add").when(was & now & F.col("_hit"), "update").when(was & ~now & ~gone, "oof").when(was & gone, "remove")
+    p = p.withColumn("_delta", kind).filter(F.col("_delta").isNotNull())
+    row = F.when(F.col("_delta").isin("oof", "remove"), F.col("_old")).otherwise(F.col("_new"))
+    return p.select("_delta", *keys, *[row.getField(c).alias(c) for c in changelog.columns if c not in (*keys, *META)])
+
+
 def sparse(before: DataFrame, after: DataFrame, keys: list[str], where: str | None = None) -> DataFrame:
     """Deltas whose updates carry only the changed fields as JSON beside the key; no-op updates are not sent; oof and
     remove carry the key only. Fields changed to null are omitted, as JSON leaves nulls out."""
@@ -85,11 +100,13 @@ def top_n(state: DataFrame, order: list[Column], n: int, rank: str = "_rank") ->
     return top.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def topn_deltas(before: DataFrame, after: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """Entrants are added, rows pushed out are oof, deleted ones remove, changed ones in the window update."""
+def topn_deltas(before: DataFrame, after: DataFrame, keys: list[str], order: list[Column], n: int, more: DataFrame | None = None) -> DataFrame:
+    """Entrants are added, rows pushed out are oof, deleted ones remove, changed ones in the window update. ``more``: keys that
+    are alive besides those of ``after``, where that is only the best of the state."""
     a, b = top_n(before, order, n).drop("_rank"), top_n(after, order, n).drop("_rank")
     d = classify(a, b, keys)
-    alive = after.select(*keys).withColumn("_alive", F.lit(True))
+    alive = after.select(*keys)
+    alive = (alive.union(more.select(*keys)).distinct() if more is not None else alive).withColumn("_alive", F.lit(True))
     on = reduce(lambda x, y: x & y, [d[k].eqNullSafe(alive[k]) for k in keys])
     j = d.join(alive, on, "left")
     kind = F.when((F.col("_delta") == "remove") & F.col("_alive"), "oof").otherwise(F.col("_delta"))

@@ -18,29 +18,30 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, *, ho
 
     One shuffle and one sort: both sides are united and a window carries the last right row forward. ``inner`` drops rows
     without a match, ``left`` keeps them. Null keys and null times match nothing. At equal right times the highest
-    ``tiebreak`` wins. ``bucket``: an interval such as '1 day' splits a hot key by time; the last right row of every
-    bucket is carried into the later ones through a second, aggregated window.
+    ``tiebreak`` wins. ``bucket``: a unit such as 'day' splits a hot key by time; the last right row of every bucket, which the
+    right side alone gives, is carried into the later ones through a second, aggregated window.
     """
     pay = [c for c in right.columns if c not in keys and c != ts]
     out = {c: (prefix + c if c in left.columns else c) for c in [*pay, ts]}
     key = [F.col(k) for k in keys]
-    tie = F.col(tiebreak).cast("double") if tiebreak else F.lit(0.0)
+    tie = F.col(tiebreak) if tiebreak else F.lit(0)
     slot = F.date_trunc(bucket, F.col(ts)) if bucket else F.lit(0)
     r = right.dropna(subset=[*keys, ts]).select(*key, F.col(ts).alias("_t"), F.lit(0).alias("_side"), tie.alias("_tie"), slot.alias("_slot"), F.struct(F.col(ts), *pay).alias("_r"), F.lit(None).cast(left.select(F.struct("*")).dtypes[0][1]).alias("_l"))
-    lefts = left.select(*key, F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.lit(0.0).alias("_tie"), slot.alias("_slot"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct("*").alias("_l"))
-    both = r.unionByName(lefts)
+    lefts = left.select(*key, F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"), slot.alias("_slot"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct("*").alias("_l"))
     w = Window.partitionBy(*keys, "_slot").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    m = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w))
+    m = r.unionByName(lefts).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
     if bucket:
-        ends = both.groupBy(*keys, "_slot").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_end"))
+        ends = r.groupBy(*keys, "_slot").agg(F.max_by("_r", F.struct("_t", "_tie")).alias("_end"))
+        slots = left.dropna(subset=[*keys, ts]).select(*key, slot.alias("_slot"), F.lit(None).cast(r.schema["_r"].dataType).alias("_end")).distinct()
+        ends = ends.unionByName(slots).groupBy(*keys, "_slot").agg(F.first("_end", ignorenulls=True).alias("_end"))
         carry = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-        ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(carry)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slot").alias("_s"), "_before")
-        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_slot").eqNullSafe(F.col("_s"))]
-        m = m.filter("_side = 1").join(ends, on, "left").withColumn("_m", F.coalesce("_m", "_before"))
+        ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(carry)).select(*[F.col(k).alias(f"_k{i}_") for i, k in enumerate(keys)], F.col("_slot").alias("_s"), "_before")
+        on = [F.col(k) == F.col(f"_k{i}_") for i, k in enumerate(keys)] + [F.col("_slot") == F.col("_s")]
+        m = m.join(ends, on, "left").withColumn("_m", F.coalesce("_m", "_before"))
     ok = F.col("_t").isNotNull()
     for k in key:
         ok = ok & k.isNotNull()
-    m = m.filter("_side = 1").withColumn("_m", F.when(ok, F.col("_m")))
+    m = m.withColumn("_m", F.when(ok, F.col("_m")))
     m = m.filter(F.col("_m").isNotNull()) if how == "inner" else m
     return m.select("_l.*", *[F.col("_m").getField(c).alias(out[c]) for c in [ts, *pay]])
 

@@ -29,24 +29,38 @@ def as_of_seq(changelog: DataFrame, keys: list[str], seq: int, keep_meta: bool =
     return latest_by_key(changelog.filter(F.col("_seq") <= seq), keys, keep_meta)
 
 
-def seq_at(changelog: DataFrame, ts: Column, inclusive: bool = True) -> DataFrame:
-    """One row: the highest sequence at (or, if not inclusive, before) ``ts``; null if none."""
-    return changelog.filter(F.col("_ts") <= ts if inclusive else F.col("_ts") < ts).agg(F.max("_seq").alias("_cut"))
+def seq_at(changelog: DataFrame, ts: Column, inclusive: bool = True) -> int:
+    """The highest sequence number at (or, if not inclusive, before) ``ts``; -1 if none. One scalar, read before the query that
+    uses it, whose filter then reaches the scan."""
+    cut = changelog.filter(F.col("_ts") <= ts if inclusive else F.col("_ts") < ts).agg(F.max("_seq")).first()[0]
+    return -1 if cut is None else cut
 
 
 def as_of_ts(changelog: DataFrame, keys: list[str], ts: Column, keep_meta: bool = False) -> DataFrame:
-    """State at a time, inclusive. The cut is one row, so its broadcast is bounded."""
-    cut = seq_at(changelog, ts)
-    rows = changelog.join(F.broadcast(cut), F.col("_seq") <= F.col("_cut")).drop("_cut")
-    return latest_by_key(rows, keys, keep_meta)
+    """State at a time, inclusive."""
+    return as_of_seq(changelog, keys, seq_at(changelog, ts), keep_meta)
+
+
+def two_states(changelog: DataFrame, keys: list[str], seq: int) -> DataFrame:
+    """Per key the newest rows as of ``seq`` (_old) and of all (_new), null where none or deleted, and whether the key was written
+    behind ``seq`` (_hit): one scan and one shuffle for both states."""
+    rest = [c for c in changelog.columns if c not in keys]
+    row, cut = F.struct(*[F.col(f"`{c}`") for c in rest]), F.col("_seq") <= seq
+    both = changelog.groupBy(*keys).agg(F.max_by(row, F.when(cut, F.col("_seq"))).alias("_old"), F.max_by(row, "_seq").alias("_new"), F.max(F.when(~cut, F.lit(True))).alias("_hit"))
+    live = lambda c: F.when(F.col(f"{c}._op") != "D", F.col(c)).alias(c)
+    return both.select(*keys, live("_old"), live("_new"), F.coalesce("_hit", F.lit(False)).alias("_hit"))
+
+
+def split_states(both: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The two states of ``two_states``, without sequence numbers; both read one shuffle."""
+    cols = [f for f in both.schema["_new"].dataType.names if f not in META]
+    side = lambda c: both.filter(F.col(c).isNotNull()).select(*keys, *[F.col(c).getField(f).alias(f) for f in cols])
+    return side("_old"), side("_new")
 
 
 def replay_since(changelog: DataFrame, *, bookmark: int | None = None, ts: Column | None = None) -> DataFrame:
     """Entries after a bookmark, or after the last entry strictly before ``ts``."""
-    if bookmark is not None:
-        return changelog.filter(F.col("_seq") > bookmark)
-    cut = seq_at(changelog, ts, inclusive=False).select(F.coalesce("_cut", F.lit(-1)).alias("_cut"))
-    return changelog.join(F.broadcast(cut), F.col("_seq") > F.col("_cut")).drop("_cut")
+    return changelog.filter(F.col("_seq") > (bookmark if bookmark is not None else seq_at(changelog, ts, inclusive=False)))
 
 
 def expire(state: DataFrame, now: Column, seconds: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import re
 from dataclasses import dataclass
 
@@ -50,15 +52,21 @@ def check_view(view, topics: dict, views: dict, depth: int = 3) -> None:
 
 
 def estimate(df: DataFrame) -> dict[str, int]:
-    """Catalyst's size and, if it knows it, row estimate, from EXPLAIN COST."""
-    text = df._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    """Catalyst's size and, if it knows it, row estimate of the whole plan, from EXPLAIN COST."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain(mode="cost")
+    text = out.getvalue().partition("Optimized Logical Plan")[2]
     units = {"B": 1, "KiB": 2**10, "MiB": 2**20, "GiB": 2**30, "TiB": 2**40, "PiB": 2**50, "EiB": 2**60}
-    size, rows = re.search(r"sizeInBytes=([\d.E+]+) (\w+)", text), re.search(r"rowCount=([\d.E+]+)", text)
+    first = re.search(r"Statistics\(([^)]*)\)", text)
+    size, rows = (re.search(x, first[1] if first else "") for x in (r"sizeInBytes=([\d.E+]+) (\w+)", r"rowCount=([\d.E+]+)"))
     return {"bytes": int(float(size[1]) * units.get(size[2], 1)) if size else 0} | ({"rows": int(float(rows[1]))} if rows else {})
 
 
 def preflight(df: DataFrame, limits: Limits) -> DataFrame:
-    """Refuses a plan whose estimate is over the limits."""
+    """Refuses a plan whose estimate is over the limits. Rows are only known where Catalyst knows them; else ``capped`` counts."""
+    if not limits.max_bytes and not limits.max_rows:
+        return df
     e = estimate(df)
     if limits.max_bytes and e["bytes"] > limits.max_bytes:
         raise GuardrailError(f"estimated {e['bytes']} bytes; the limit is {limits.max_bytes}")
@@ -68,7 +76,20 @@ def preflight(df: DataFrame, limits: Limits) -> DataFrame:
 
 
 def capped(df: DataFrame, max_rows: int) -> DataFrame:
-    """The frame, or an error once it has more than ``max_rows`` rows (never a silently cut result)."""
-    if df.limit(max_rows + 1).agg(F.count(F.lit(1))).first()[0] > max_rows:
-        raise GuardrailError(f"more than {max_rows} rows")
-    return df
+    """The frame, which fails when it is run and has more than ``max_rows`` rows: never a silently cut result. The limit makes one
+    partition, so the rows' numbers are exact; the query runs once."""
+    number = F.monotonically_increasing_id()
+    return df.limit(max_rows + 1).filter(F.when(number >= max_rows, F.raise_error(F.lit(f"more than {max_rows} rows")).cast("boolean")).otherwise(True))
+
+
+def active_set(df: DataFrame, most: int) -> int:
+    """Rows that a subscription holds; more than ``most`` closes it (0: no limit). Counts ``most`` and one at most."""
+    n = df.limit(most + 1).count() if most else df.count()
+    if most and n > most:
+        raise GuardrailError(f"too many matches: more than {most}")
+    return n
+
+
+def interval_ms(asked: int | None, baseline: int, most: int = 60_000) -> int:
+    """The conflation interval: what the subscriber asks for, else the topic's; 0 means none; a minute at most."""
+    return min(max(baseline if asked is None else asked, 0), most)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +29,15 @@ def build_session(app: str = "tidewright", master: str | None = None, **conf: st
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel(os.environ.get("TIDEWRIGHT_LOG", "ERROR"))
     return spark
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder's name in spark.checkpoint.dir, which driver and executors share. Only where all run in one process a
+    temporary folder takes its place."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp()}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -15,7 +15,8 @@ def as_changelog(df: DataFrame, seq: str, ts: str, deleted: Column | None = None
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """One atomic batch: readers see all of it or nothing. Publishes, partial publishes and deletes differ by _op."""
+    """Appends a batch: publishes, partial publishes and deletes differ by _op. Spark's committer puts files in place when the job
+    ends, so a failed batch leaves none; who lists the folder just then may see some of a batch's files."""
     rows.write.mode("append").parquet(path)
 
 
@@ -46,10 +47,11 @@ def write_snapshot(changelog: DataFrame, keys: list[str], path: str) -> None:
 
 
 def recover(spark: SparkSession, snapshot: str, log: str, keys: list[str]) -> DataFrame:
-    """State from a snapshot and the log behind its water mark."""
+    """State from a snapshot and the log behind its water mark. The mark is one number, read first, so that the log's files are
+    pruned by it. A key deleted behind the mark is gone; one deleted before it isn't in the snapshot."""
     snap = spark.read.parquet(snapshot)
-    mark = snap.agg(F.coalesce(F.max("_seq"), F.lit(-1)).alias("_mark"))
-    tail = spark.read.parquet(log).join(F.broadcast(mark), F.col("_seq") > F.col("_mark")).drop("_mark")
+    mark = snap.agg(F.max("_seq")).first()[0]
+    tail = spark.read.parquet(log).filter(F.col("_seq") > (-1 if mark is None else mark))
     return latest_by_key(snap.unionByName(tail, allowMissingColumns=True), keys)
 
 
