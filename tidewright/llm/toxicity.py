@@ -2,24 +2,29 @@
 
 Terms are words and word beginnings (insults are inflected). All terms of a bounded sample of labelled documents are indexed,
 weighted by their document frequency over the whole corpus and by how much more often toxic examples hold them; no term,
-example or document is left out. Every document's cosine with every example is computed: the terms of most examples by a
-matrix product, the others by their postings. Neighbours vote with weights that fall with distance; the share of votes is
-calibrated by isotonic regression on the examples themselves, each left out of its own vote.
+example or document is left out. The index is inverted and cut into blocks of similar examples: where many examples of a block
+hold a term, their weights are a row of the block's matrix, elsewhere postings. Postings are added first; a block's product is
+skipped where the block's greatest weights, with the postings' best sum in it, cannot reach the cosines already found. Neighbours
+vote with weights that fall with distance; the share of votes is calibrated by isotonic regression on the examples themselves,
+each left out of its own vote.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tidewright.llm.common import whole, written
 from tidewright.llm.worker import claim, release
@@ -29,12 +34,14 @@ SAMPLE = 8000
 #: The weight of a term is its idf times log2(2 + toxic examples / other examples) to this power: 1 or more for every term.
 RELEVANCE = 2
 NEIGHBOURS, THRESHOLD = 15, 0.7
-#: Terms whose cosines come from the matrix product, at most; queries, and characters of texts, at once.
-FREQUENT, QUERIES, CHUNK = 256, 64, 1_000_000
+#: Queries, and characters of texts, at once.
+QUERIES, CHUNK = 256, 4_000_000
+#: Blocks of examples, frequent terms by which they are told apart, rounds of that; a term is a column of a block's matrix where
+#: its shares of the block's and of all examples multiply to more than DENSE; more than single precision can be off.
+BLOCKS, APART, ROUNDS, DENSE, SLACK = 16, 512, 6, 0.0015, 2e-5
 #: Lengths of the word beginnings used beside the word.
 HEADS = (4, 5, 6)
 _TRIM = ".,;:!?\"'()[]{}<>«»“”„…*_-–—"
-_CACHE = 400_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -43,36 +50,70 @@ def terms_of(word: str) -> list[str]:
     return [w, *(w[:n] + "*" for n in HEADS if len(w) >= n)] if w else []
 
 
-class Terms(dict):
-    """word -> row of ``table``: the ids of the word's terms, -1 for none."""
+class Terms:
+    """Ids of the terms of words, and counts of the terms of texts. Words are looked up as Arrow columns, each distinct one of some
+    texts once; nothing is kept between texts."""
 
     def __init__(self, vocabulary: list[str]):
-        super().__init__()
+        """vocabulary: terms in the order of their ids."""
+        ids = np.arange(len(vocabulary), dtype=np.int32)
+        head = np.array([len(t) - 1 if t[-1] == "*" else 0 for t in vocabulary], np.int32)
+        self.sets = []
+        for n in (*HEADS, 0):
+            own = np.flatnonzero(head == n)
+            self.sets.append((n, pa.array([vocabulary[i][:n] if n else vocabulary[i] for i in own], pa.string()), np.append(ids[own], np.int32(-1))))
+        self.place = np.zeros(len(vocabulary), np.int32)
+
+    def lookup(self, words: pa.Array) -> np.ndarray:
+        """(words, beginnings and the word): ids of the terms, -1 for none."""
+        w = pc.utf8_trim(words, characters=_TRIM)
+        size = pc.utf8_length(w)
+        out = np.empty((len(words), len(self.sets)), np.int32)
+        for i, (n, values, ids) in enumerate(self.sets):
+            if n:
+                found = pc.index_in(pc.if_else(pc.greater_equal(size, n), pc.utf8_slice_codeunits(w, 0, n), None), value_set=values)
+            else:
+                found = pc.index_in(w, value_set=values)
+            out[:, i] = ids[found.fill_null(-1).to_numpy(zero_copy_only=False)]
+        return out
+
+    def of(self, ids: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, occurrences) from the rows of lookup() for a text's words, in no order; ``times``: how often each word counts."""
+        there = ids >= 0
+        n = None if times is None else np.broadcast_to(times[:, None], ids.shape)[there]
+        ids = ids[there]
+        at = np.arange(len(ids), dtype=np.int32)
+        self.place[ids] = at  # the last occurrence stands for all
+        last = self.place[ids]
+        keep = np.flatnonzero(last == at)
+        return ids[keep], np.bincount(last, n, len(ids))[keep].astype(np.int32)
+
+    def count(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(terms, occurrences) of each text."""
+        words = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        cuts = words.offsets.to_numpy()
+        flat = pc.dictionary_encode(words.values)
+        table, rows = self.lookup(flat.dictionary.cast(pa.string())), flat.indices.to_numpy()
+        blank = pc.equal(flat.dictionary, "").to_numpy(zero_copy_only=False)  # the ends of a text that begins or ends with space
+        table[blank] = -1
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            yield self.of(table[rows[a:z]])
+
+
+class Vocabulary:
+    """The sample's terms, and a worker's lookup of them, which outlives its tasks."""
+
+    def __init__(self, terms: list[str]):
+        self.list = terms
+        self._terms: Terms | None = None
+
+    @property
+    def terms(self) -> Terms:
         claim("toxicity")
-        self.ids = {t: i for i, t in enumerate(vocabulary)}
-        self.table, self.rows = np.full((1 << 12, 1 + len(HEADS)), -1, np.int64), 1
-
-    def __missing__(self, word: str) -> int:
-        ids = [self.ids[t] for t in terms_of(word) if t in self.ids]
-        if ids:
-            if self.rows == len(self.table):
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-            self.table[self.rows, : len(ids)] = ids
-            self.rows += 1
-        found = self[word] = self.rows - 1 if ids else 0
-        return found
-
-    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of the text, term, occurrences) of all terms of the texts, in order."""
-        if len(self) > _CACHE:
-            self.clear()
-            self.table[:], self.rows = -1, 1
-        words = [t.lower().split() for t in texts]
-        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64)
-        ids = self.table[rows]
-        keys = (np.repeat(np.arange(len(texts)), [len(w) for w in words])[:, None] << 32 | ids)[ids >= 0]
-        keys, n = np.unique(keys, return_counts=True)
-        return keys >> 32, keys & 0xFFFFFFFF, n
+        if self._terms is None:
+            self._terms = Terms(self.list)
+            self.list = []
+        return self._terms
 
 
 def chunks(column: Iterable) -> Iterator[list[str]]:
@@ -102,26 +143,72 @@ def sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 class BlockMaxIndex:
-    """Exact top-k by cosine over sparse non-negative vectors, all of which are scored: documents share common words with
-    so many examples that bounds by block rule out too little. Vectors are {term: weight} or (terms, weights)."""
-
-    def __init__(self, vectors: list, terms: int):
-        """vectors: unit length, in the order of ids."""
-        pairs = [self.pair(v) for v in vectors]
-        self.n = len(pairs)
-        term = np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, np.int64)
-        order = np.argsort(term, kind="stable")
-        self.docs = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in pairs])[order]
-        self.weights = (np.concatenate([w for _, w in pairs]) if pairs else np.zeros(0))[order]
-        self.sizes = np.bincount(term, minlength=terms)
+    """Exact top-k by cosine over sparse non-negative vectors: {term: weight} or (terms, weights)."""
+
+    def __init__(self, term: np.ndarray, weight: np.ndarray, sizes: np.ndarray, terms: int):
+        """Unit vectors one after another, in the order of ids: terms, weights, and how many each has."""
+        self.n = n = len(sizes)
+        block = self.blocks(term, weight, np.repeat(np.arange(n, dtype=np.int32), sizes), n, terms)
+        self.order = np.argsort(block, kind="stable")  # place -> number of the vector
+        self.where = np.empty(n, np.int64)
+        self.where[self.order] = np.arange(n)
+        starts, sizes = (np.cumsum(sizes) - sizes)[self.order], sizes[self.order]
+        at = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        term, weight = term[at].astype(np.int32), weight[at]  # in order of place
+        del at
+        doc, block = np.repeat(np.arange(n, dtype=np.int32), sizes), block[self.order]
+        self.cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if n else np.zeros(0, np.int64)
+        self.ends = np.append(self.cuts[1:], n)[: len(self.cuts)]
+        entries = np.append(0, np.cumsum(sizes))[np.append(self.cuts, n)]  # of each block
+        share = np.bincount(term, minlength=terms) / max(n, 1)
+        often = np.zeros(len(term), bool)  # entries of the matrices
+        columns = []
+        for b, (a, z) in enumerate(zip(self.cuts, self.ends, strict=True)):
+            own = slice(entries[b], entries[b + 1])
+            held = np.bincount(term[own], minlength=terms)
+            mine = (held > 1) & (held * share > DENSE * (z - a))
+            columns.append(np.flatnonzero(mine))
+            often[own] = mine[term[own]]
+        used = np.unique(np.concatenate([np.zeros(0, np.int64), *columns]))
+        self.place, self.used = np.full(terms, -1, np.int32), len(used)
+        self.place[used] = np.arange(len(used))
+        self.columns, self.matrices, self.most = [self.place[c] for c in columns], [], []
+        for b, (a, z) in enumerate(zip(self.cuts, self.ends, strict=True)):
+            at = np.full(terms, -1, np.int32)
+            at[columns[b]] = np.arange(len(columns[b]))
+            own = entries[b] + np.flatnonzero(often[entries[b] : entries[b + 1]])
+            m = np.zeros((len(columns[b]), z - a), np.float32)
+            m[at[term[own]], doc[own] - a] = weight[own]
+            self.matrices.append(m)
+            self.most.append(m.max(1, initial=0))
+        self.exact = np.searchsorted(doc[often], np.arange(n + 1)).tolist(), self.place[term[often]].astype(np.int64), weight[often]  # the matrices' entries by vector
+        rest = np.flatnonzero(~often)[np.argsort(term[~often], kind="stable")]
+        self.docs, self.weights, self.sizes = doc[rest].astype(np.uint16 if n < 1 << 16 else np.int32), weight[rest], np.bincount(term[rest], minlength=terms)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        often = np.argsort(-self.sizes, kind="stable")[:FREQUENT]
-        self.place = np.full(terms, -1, np.int64)
-        self.place[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.n))
-        for i, t in enumerate(often.tolist()):
-            a, z = self.starts[t], self.starts[t] + self.sizes[t]
-            self.dense[i, self.docs[a:z]] = self.weights[a:z]
+
+    @staticmethod
+    def blocks(term: np.ndarray, weight: np.ndarray, doc: np.ndarray, n: int, terms: int) -> np.ndarray:
+        """Each vector's block: those whose frequent terms are most alike, by a few rounds of spherical k-means."""
+        k = min(BLOCKS, n)
+        often = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:APART]
+        at = np.full(terms, -1, np.int64)
+        at[often] = np.arange(len(often))
+        x = np.zeros((n, len(often)), np.float32)
+        some = at[term] >= 0
+        x[doc[some], at[term[some]]] = weight[some]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        centre, label = x[:: max(1, n // max(1, k))][:k], np.zeros(n, np.int64)
+        for _ in range(ROUNDS if n else 0):
+            label = (x @ centre.T).argmax(1)
+            centre = np.stack([x[label == j].sum(0) for j in range(k)])
+            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+        return label
+
+    @classmethod
+    def of(cls, vectors: list[dict[int, float]], terms: int) -> BlockMaxIndex:
+        term, weight = (np.concatenate([np.zeros(0, t), *(np.fromiter(v, t, len(v)) for v in x)]) for t, x in ((np.int32, vectors), (float, [v.values() for v in vectors])))
+        return cls(term, weight, np.array([len(v) for v in vectors], np.int64), terms)
 
     @staticmethod
     def pair(v) -> tuple[np.ndarray, np.ndarray]:
@@ -133,53 +220,77 @@ class BlockMaxIndex:
 
     def nearest_of(self, queries: list, k: int, without: list[int]) -> list[list[tuple[float, int]]]:
         pairs = [self.pair(q) for q in queries]
-        often = np.zeros((len(pairs), len(self.dense)))
+        if not self.n:
+            return [[] for _ in pairs]
+        often, rest = np.zeros((len(pairs), self.used)), np.empty((len(pairs), self.n))
         for i, (t, w) in enumerate(pairs):
             at = self.place[t]
             often[i, at[at >= 0]] = w[at >= 0]
-        scores = often @ self.dense
+            size = self.sizes[t]
+            held = np.flatnonzero(size)
+            t, w, size = t[held], w[held], size[held]
+            at = np.repeat(self.starts[t] - (np.cumsum(size) - size), size)
+            at += np.arange(len(at))
+            sums = self.weights.take(at, mode="clip")
+            sums *= np.repeat(w, size)
+            rest[i] = np.bincount(self.docs.take(at, mode="clip"), sums, self.n)
+        scores, single = rest.astype(np.float32), often.astype(np.float32)
+        bound = np.maximum.reduceat(scores, self.cuts, axis=1) + np.stack([single[:, c] @ m for c, m in zip(self.columns, self.most, strict=True)], 1)
+        first, least = bound.argmax(1), np.zeros(len(pairs), np.float32)
+        for more in (False, True):
+            for b, (a, z) in enumerate(zip(self.cuts, self.ends, strict=True)):
+                todo = np.flatnonzero((first != b) & (bound[:, b] >= least - SLACK) if more else first == b)
+                if len(todo):
+                    scores[todo, a:z] += single[np.ix_(todo, self.columns[b])] @ self.matrices[b]
+                    if not more and z - a > k + 1:  # one more than k, as its own may go
+                        least[todo] = np.partition(scores[todo, a:z], z - a - k - 1, axis=1)[:, z - a - k - 1]
+                if more:  # none of the k best is here
+                    scores[np.flatnonzero((first != b) & (bound[:, b] < least - SLACK)), a:z] = 0
+        for i, x in enumerate(without):
+            if x >= 0:
+                scores[i, self.where[x]] = 0
+        cuts, columns, weights = self.exact
         out = []
-        for (t, w), s, own in zip(pairs, scores, without, strict=True):
-            rare = self.place[t] < 0
-            size = self.sizes[t[rare]]
-            at = np.repeat(self.starts[t[rare]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            s += np.bincount(self.docs[at], self.weights[at] * np.repeat(w[rare], size), self.n)
-            if own >= 0:
-                s[own] = 0
-            least = np.partition(s, self.n - k)[self.n - k] - 1e-11 if self.n > k else 0.0
-            hit = np.flatnonzero((s > 0) & (s >= least))
-            value = np.round(s[hit], 12)
-            best = np.lexsort((hit, -value))[:k]
-            out.append(list(zip(value[best].tolist(), hit[best].tolist(), strict=True)))
+        for i, (s, low) in enumerate(zip(scores, least, strict=True)):
+            hit = np.flatnonzero(s >= max(low - SLACK, 1e-30))  # the k best are among them
+            if len(hit) > 4 * k:
+                hit = hit[s[hit] >= np.partition(s[hit], len(hit) - k)[len(hit) - k] - SLACK]
+            mine, value = often[i], rest[i, hit]
+            for x, j in enumerate(hit.tolist()):
+                own = slice(cuts[j], cuts[j + 1])
+                value[x] += mine.take(columns[own], mode="clip") @ weights[own]
+            value = np.round(value, 12)
+            number = self.order[hit]
+            top = np.lexsort((number, -value))[:k]
+            out.append(list(zip(value[top].tolist(), number[top].tolist(), strict=True)))
         return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: (upper ends, values), values with one positive and one negative added to all."""
-    order = np.argsort(x, kind="stable")
+    """Pool adjacent violators: (upper ends, values). A pool's rate is drawn to the rate of all by the weight of one example;
+    where that would put it below the pool before it, it takes that one's."""
+    u, at = np.unique(x, return_inverse=True)  # equal votes are one observation
     pools: list[list[float]] = []  # sum, count, upper end
-    for v, t in zip(x[order], y[order], strict=True):
-        if pools and pools[-1][2] == v:
-            pools[-1][0] += t
-            pools[-1][1] += 1
-        else:
-            pools.append([float(t), 1.0, float(v)])
+    for total, count, end in zip(np.bincount(at, y), np.bincount(at), u, strict=True):
+        pools.append([float(total), float(count), float(end)])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, c, e = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + c, e]
-    return np.array([p[2] for p in pools]), np.array([(p[0] + y.mean()) / (p[1] + 1) for p in pools])
+    return np.array([p[2] for p in pools]), np.maximum.accumulate([(p[0] + y.mean()) / (p[1] + 1) for p in pools])
 
 
 class Neighbours:
     """The classifier but for its calibration: index and labels. examples: (doc_id, label, terms, occurrences)."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        self.vocabulary = vocabulary
-        pos, neg = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for _, y, t, _ in examples if y == v)]), minlength=len(vocabulary)) for v in (1, 0))
+    def __init__(self, terms: int, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
+        self.terms = terms
+        pos, neg = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for _, y, t, _ in examples if y == v)]), minlength=terms) for v in (1, 0))
         self.weights = idf * np.log2(2 + pos / np.maximum(1, neg)) ** RELEVANCE
         blank = [y for _, y, t, _ in examples if not len(t)]  # no words at all
-        self.held = [(t.astype(np.int32), n.astype(np.int32)) for _, _, t, n in examples if len(t)]
-        self.ids, self.labels = [d for d, _, t, _ in examples if len(t)], [y for _, y, t, _ in examples if len(t)]
+        words = [e for e in examples if len(e[2])]
+        self.ids, self.labels = [e[0] for e in words], [e[1] for e in words]
+        self.cuts = np.cumsum([0, *(len(e[2]) for e in words)])
+        self.held = [np.concatenate([np.zeros(0, np.int32), *(e[i] for e in words)]) for i in (2, 3)]
         labels = self.labels + blank
         self.prior = (sum(labels) + 1) / (len(labels) + 2)
         self.blank = min((sum(blank) + self.prior) / (len(blank) + 1), self.prior)
@@ -189,13 +300,21 @@ class Neighbours:
     def index(self) -> BlockMaxIndex:
         """Made where it is first used, once a worker; the driver never needs it."""
         if self._index is None:
-            self._index = BlockMaxIndex([self.vector(*h) for h in self.held], len(self.vocabulary))
+            terms, counts = self.held
+            w = (1 + np.log(counts)) * self.weights[terms]
+            sizes = np.diff(self.cuts)
+            w /= np.repeat(np.sqrt(np.add.reduceat(w * w, self.cuts[:-1])), sizes) if len(sizes) else 1
+            self._index = BlockMaxIndex(terms, w, sizes, self.terms)
+            del w
             release()
         return self._index
 
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.vector(*(h[self.cuts[i] : self.cuts[i + 1]] for h in self.held))
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weights[terms]
-        return terms.astype(np.int64), w / math.sqrt(w @ w) if len(w) else w
+        return terms, w / math.sqrt(w @ w) if len(w) else w
 
     def votes(self, vectors: list, without: list[int]) -> list[tuple[float, list[int]]]:
         out = []
@@ -207,7 +326,7 @@ class Neighbours:
 
     def left_out(self, numbers: list[int]) -> list[float]:
         """The votes on these examples, each left out of its own."""
-        return [v for v, _ in self.votes([self.vector(*self.held[i]) for i in numbers], numbers)]
+        return [v for v, _ in self.votes([self.example(i) for i in numbers], numbers)]
 
     def score(self, queries: list[tuple[np.ndarray, np.ndarray]], ends: np.ndarray, values: np.ndarray) -> list[tuple[float, list[int]]]:
         """(probability, ids of the examples that voted) of each (terms, occurrences), none of them empty."""
@@ -219,48 +338,57 @@ class Neighbours:
         return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Broadcast, np.ndarray, np.ndarray]:
-    """Examples and all their terms from the sample, document frequencies from all documents; (classifier, calibration)."""
+Fitted = tuple[Broadcast, Broadcast, np.ndarray, np.ndarray]
+
+
+def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Fitted:
+    """Examples and all their terms from the sample, document frequencies from all documents: (vocabulary, classifier,
+    calibration). Of rows that repeat a labelled doc_id the one with the least text is the example."""
     spark = documents.sparkSession
     rows = sample(labels, most)
-    texts = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "text")  # at most ``most`` rows
+    texts = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most ``most`` rows are broadcast
+    texts = texts.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for d, y, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                c: Counter = Counter()
-                for w, n in Counter((text.as_py() or "").lower().split()).items():
-                    c.update(dict.fromkeys(terms_of(w), n))
+                c = Counter((text.as_py() or "").lower().split())
                 names = sorted(c)
-                cols = [pa.array([d.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), pa.array(["\n".join(names)]), pa.array([np.array([c[t] for t in names], "<i4").tobytes()])]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "terms", "tfs"])
-
-    got = texts.mapInArrow(own, "doc_id long, toxic int, terms string, tfs binary").collect()  # at most ``most`` rows
-    got.sort(key=lambda r: (r["doc_id"], r["terms"], r["tfs"]))
-    vocabulary = sorted(set(chain.from_iterable(r["terms"].split("\n") for r in got)) - {""})
-    number = {t: i for i, t in enumerate(vocabulary)}
-    examples = [(r["doc_id"], r["toxic"], np.array([number[t] for t in r["terms"].split("\n") if t], np.int32), np.frombuffer(r["tfs"], "<i4")) for r in got]
-    del got, number
-    shared = spark.sparkContext.broadcast(vocabulary)  # bounded: the sample's terms
+                cols = [pa.array([d.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), pa.array([zlib.compress("\n".join(names).encode("utf-8", "surrogatepass"), 1)], pa.binary()), pa.array([np.array([c[t] for t in names], "<i4").tobytes()])]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "words", "tfs"])
+
+    got = sorted(texts.mapInArrow(own, "doc_id long, toxic int, words binary, tfs binary").collect(), key=lambda r: r["doc_id"])  # at most ``most`` rows
+    words = [zlib.decompress(r["words"]).decode("utf-8", "surrogatepass").split("\n") for r in got]
+    vocabulary = sorted({t for w in {*chain.from_iterable(words)} for t in terms_of(w)})
+    shared = spark.sparkContext.broadcast(Vocabulary(vocabulary))  # bounded: the sample's terms
+    lookup, terms, examples = Terms(vocabulary), len(vocabulary), []
+    for a in range(0, len(got), QUERIES):
+        some = [[w for w in ws if w] for ws in words[a : a + QUERIES]]
+        flat = pc.dictionary_encode(pa.array([*chain.from_iterable(some)], pa.string()))
+        table, rows, at = lookup.lookup(flat.dictionary), flat.indices.to_numpy(), 0
+        for r, ws in zip(got[a : a + QUERIES], some, strict=True):
+            examples.append((r["doc_id"], r["toxic"], *lookup.of(table[rows[at : at + len(ws)]], np.frombuffer(r["tfs"], "<i4"))))
+            at += len(ws)
+    del got, words, lookup, vocabulary
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, n = Terms(shared.value), 0
-        seen = np.zeros(len(terms.ids), np.int64)
+        words, n = shared.value.terms, 0
+        seen = np.zeros(terms, np.int64)
         for b in batches:
             n += b.num_rows
             for part in chunks(b.column(0)):
-                seen += np.bincount(terms.count(part)[1], minlength=len(seen))
+                for ids, _ in words.count(part):
+                    seen[ids] += 1
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, found)), pa.array(np.append(n, seen[found]))], ["term", "df"])
 
     sums = documents.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # as many rows as terms
-    df, term, n = np.zeros(len(vocabulary)), sums["term"].to_numpy(), sums["df"].to_numpy()
+    df, term, n = np.zeros(terms), sums["term"].to_numpy(), sums["df"].to_numpy()
     df[term[term >= 0]] = n[term >= 0]
     total = int(n[term < 0].sum())
-    model = Neighbours(vocabulary, np.log((total + 1) / (df + 1)) + 1, examples)
-    shared.unpersist()
+    model = Neighbours(terms, np.log((total + 1) / (df + 1)) + 1, examples)
     fitted, labelled, prior = spark.sparkContext.broadcast(model), np.array(model.labels, float), model.prior  # bounded: the sample's vectors
-    del model, vocabulary, examples
+    del model, examples, sums
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
@@ -270,42 +398,42 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[Br
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + QUERIES], pa.int64()), pa.array(fitted.value.left_out(ids[a : a + QUERIES]), pa.float64())], ["id", "raw"])
 
     if not len(labelled):
-        return fitted, np.array([1.0]), np.array([prior])
+        return shared, fitted, np.array([1.0]), np.array([prior])
     got = spark.range(0, len(labelled), 1, 8).mapInArrow(votes, "id long, raw double").toArrow()  # at most ``most`` rows
     raw = np.empty(len(labelled))
     raw[got["id"].to_numpy()] = got["raw"].to_numpy()
-    return fitted, *isotonic(raw, labelled)
+    return shared, fitted, *isotonic(raw, labelled)
 
 
-def scored(docs: DataFrame, fitted: tuple[Broadcast, np.ndarray, np.ndarray]) -> DataFrame:
+def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """All columns of ``docs`` and _score, _evidence (ids of the labelled neighbours)."""
-    shared, ends, values = fitted
+    vocabulary, shared, ends, values = fitted
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        terms = Terms(model.vocabulary)
+        model, terms = shared.value, vocabulary.value.terms
         known: dict[bytes, tuple[float, list[int]]] = {}
         for b in batches:
             out: list[tuple[float, list[int]]] = []
             for part in chunks(b.column(at)):
                 if len(known) > 100_000:
                     known.clear()
-                text, ids, tfs = terms.count(part)
-                cut = np.searchsorted(text, np.arange(len(part) + 1))
-                queries = [(ids[a:z], tfs[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
-                keys = [blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest() if len(t) else b"" for t, n in queries]
-                known[b""] = (model.blank, [])
-                new = {k: q for k, q in zip(keys, queries, strict=True) if k not in known}
-                for a in range(0, len(new), QUERIES):
-                    some = list(new)[a : a + QUERIES]
-                    known.update(zip(some, model.score([new[k] for k in some], ends, values), strict=True))
+                keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in part]
+                new = [*{k: t for k, t in zip(keys, part, strict=True) if k not in known}.items()]
+                full = []
+                for (k, _), q in zip(new, terms.count([t for _, t in new]), strict=True):
+                    known[k] = (model.blank, [])
+                    if len(q[0]):
+                        full.append((k, q))
+                for a in range(0, len(full), QUERIES):
+                    some = full[a : a + QUERIES]
+                    known.update(zip([k for k, _ in some], model.score([q for _, q in some], ends, values), strict=True))
                 out += [known[k] for k in keys]
             cols = [*b.columns, pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "_score", "_evidence"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, _score double, _evidence array<long>")
+    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_evidence", ArrayType(LongType()))])
+    return docs.mapInArrow(run, schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
