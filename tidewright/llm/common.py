@@ -17,9 +17,12 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process a temporary folder
+    takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp()}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -47,12 +50,17 @@ def sweep(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def remember(path: str) -> str:
+    """A path that an open scratch() will list."""
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet in the shared folder and read back: its lineage is cut, a lost executor costs a read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    path = remember(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

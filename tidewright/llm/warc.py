@@ -11,16 +11,19 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import logging
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import small_join, written
+from tidewright.llm.common import remember, shared_dir, small_join, written
 
 MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -156,12 +159,13 @@ class SalvageReader:
             self.gaps.append((bad, len(self.data) - bad, reason))
 
 
-def write_archives(pages: DataFrame, least: int = 0, segment: int = SEGMENT) -> DataFrame:
-    """(segment, data): the pages as archives. Of records whose payloads are equal and at least ``least`` bytes long, the one
-    with the smallest page_id is the response, the others revisit it; shorter ones are all responses.
+def write_archives(pages: DataFrame, folder: str, least: int = 0, segment: int = SEGMENT) -> DataFrame:
+    """(path, records, bytes) of the archives that hold the pages, gzip files of about ``segment`` bytes in ``folder``, which all
+    executors share. Of records whose payloads are equal and at least ``least`` bytes long, the one with the smallest page_id
+    is the response, the others revisit it; shorter ones are all responses.
 
     Null html is an empty payload. Rows that repeat a page_id and its payload are all what that page is; a null page_id is
-    a response only where its group has no other.
+    a response only where its group has no other. Files that a lost or repeated task left are in no row.
     """
     html = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     p = pages.select("page_id", "url", html.alias("_payload"))
@@ -171,11 +175,17 @@ def write_archives(pages: DataFrame, least: int = 0, segment: int = SEGMENT) ->
     all_ = small_join(keyed, many, "_sha", "left").select("page_id", "url", "_payload", "_first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
         task, n, parts, size = TaskContext.get().partitionId(), 0, [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal n, parts, size
-            out = pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{n:06d}"]), pa.array([b"".join(parts)], pa.binary())], ["segment", "data"])
+            path = f"{base}/{task:06d}-{n:06d}-{uuid.uuid4().hex[:8]}.warc.gz"
+            with store.open_output_stream(path, compression=None) as f:
+                for x in parts:
+                    f.write(x)
+            out = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(parts)], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
             n, parts, size = n + 1, [], 0
             return out
 
@@ -190,7 +200,7 @@ def write_archives(pages: DataFrame, least: int = 0, segment: int = SEGMENT) ->
         if parts:
             yield close()
 
-    return all_.mapInArrow(run, "segment string, data binary")
+    return all_.mapInArrow(run, "path string, records long, bytes long")
 
 
 def _page(urn: str | None) -> int | None:
@@ -198,30 +208,50 @@ def _page(urn: str | None) -> int | None:
     return int(tail) if tail.lstrip("-").isdigit() else None
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """One row per record (kind 'record') and per quarantined gap (kind 'gap': gap_offset, gap_length, reason)."""
-    schema = pa.schema([("segment", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("gap_offset", pa.int64()), ("gap_length", pa.int64()), ("reason", pa.string())])
+def read_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """One row per record (kind 'record') and per quarantined gap (kind 'gap': gap_offset, gap_length, reason) of the archives
+    named in column path, in file order. Archives are read where they lie, one at a time in a task; an empty one has no rows."""
+    schema = pa.schema([("path", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("gap_offset", pa.int64()), ("gap_length", pa.int64()), ("reason", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(folder)
         for b in batches:
-            for segment, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for path in b.column(0).to_pylist():
+                with store.open_input_stream(path, compression=None) as f:
+                    reader = SalvageReader(f.readall())
                 rows = []
-                reader = SalvageReader(data.as_py())
                 for r in reader:
                     h = r.headers
                     if h["warc-type"] not in ("response", "revisit"):
                         continue
                     bare = digest(r.payload) if h["warc-type"] == "response" else h.get("warc-payload-digest", "").removeprefix("sha1:")
-                    rows.append((segment, "record", _page(h.get("warc-record-id")), r.payload_bytes, bare, h["warc-type"], _page(h.get("warc-refers-to")) if h["warc-type"] == "revisit" else None, None, None, None))
-                rows += [(segment, "gap", None, None, None, None, None, *g) for g in reader.gaps]
+                    rows.append((path, "record", _page(h.get("warc-record-id")), r.payload_bytes, bare, h["warc-type"], _page(h.get("warc-refers-to")) if h["warc-type"] == "revisit" else None, None, None, None))
+                rows += [(path, "gap", None, None, None, None, None, *g) for g in reader.gaps]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     ddl = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in schema)
-    return archives.select("segment", "data").mapInArrow(run, ddl)
+    return archives.select("path").mapInArrow(run, ddl)
+
+
+def salvaged(archives: DataFrame, folder: str) -> DataFrame:
+    """read_archives, read once and kept; its gaps are logged, and left in the result."""
+    back = written(read_archives(archives, folder), "warc-back")
+    gaps = back.filter("kind = 'gap'")
+    total, length = gaps.agg(F.count(F.lit(1)), F.sum("gap_length")).first()
+    if total:
+        some = "; ".join(f"{r.path} {r.gap_offset}+{r.gap_length}: {r.reason}" for r in gaps.orderBy("path", "gap_offset").limit(20).collect())
+        logging.getLogger(__name__).warning("%d gaps of %d bytes quarantined, the first: %s", total, length, some)
+    return back
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """The pages written as archives in the shared folder and read back."""
-    back = read_archives(written(write_archives(pages, least), "warc"))
-    return back.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The pages written as archives in the shared folder and read back. The archives stay; a page that doesn't come back is an
+    error, never a missing row."""
+    folder = remember(f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
+    archives = written(write_archives(pages, folder, least), "warc-manifest")
+    back = salvaged(archives, folder).filter("kind = 'record'")
+    put, got = archives.agg(F.sum("records")).first()[0] or 0, back.count()
+    if put != got:
+        raise RuntimeError(f"{put} records were written, {got} read back; the gaps are in the log")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
