@@ -436,6 +436,12 @@ def codec_json(spark, sf):
     return codecs.to_json_rows(e)
 
 
+@query("sow_batches", """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS json, true AS small FROM nation""")
+def sow_batches(spark, sf):
+    b = codecs.sow_batches(read(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"), 10)
+    return b.select(F.explode("rows").alias("json"), (F.size("rows") <= 10).alias("small"))
+
+
 _ROW = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("odd", T.BooleanType())])
 
 

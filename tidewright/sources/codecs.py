@@ -16,6 +16,14 @@ def to_json_rows(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), opts).alias(name))
 
 
+def sow_batches(df: DataFrame, rows: int = 200) -> DataFrame:
+    """A snapshot as it is sent: (batch, json rows), at most ``rows`` a batch. Batches are cut within partitions, so nothing is
+    ordered or numbered across them."""
+    at = F.monotonically_increasing_id()
+    own = to_json_rows(df).select("json", F.floor(at / F.lit(2**33)).alias("_p"), F.floor((at % F.lit(2**33)) / F.lit(rows)).alias("_c"))
+    return own.groupBy("_p", "_c").agg(F.collect_list("json").alias("rows")).select((F.col("_p") * F.lit(2**33) + F.col("_c")).alias("batch"), "rows")
+
+
 def parse_fix(c: Column) -> Column:
     """tag=value pairs split by SOH, as a map."""
     return F.str_to_map(F.rtrim(c, F.lit("\u0001")), F.lit("\u0001"), F.lit("="))

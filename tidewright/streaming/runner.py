@@ -271,8 +271,8 @@ class ContinuousQuery:
 class JoinedView:
     """A materialised aggregate over two topics joined on equal columns, kept up when either changes.
 
-    The stream holds both changelogs, told apart by _side ('left' or 'right'); columns that a side lacks are null there. What
-    joins anew is the left side's changes with the right side as it is, and the right side's changes with the left as it was.
+    The stream holds both changelogs, told apart by _side ('left' or 'right'); columns that a side lacks are null there, and the
+    sides' columns differ in name. What joins anew is the left side's changes with the right side as it is, and the right side's changes with the left as it was.
     """
 
     left: StateTable
@@ -283,9 +283,8 @@ class JoinedView:
     last: int = -1
 
     def _joined(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        l = left.drop(*META).select("*", *[e.alias(f"_on{i}") for i, (_, e) in enumerate(self.on)])  # noqa: E741
-        r = right.drop(*META).withColumnRenamed("_w", "_rw") if "_w" in right.columns and "_w" in left.columns else right.drop(*META)
-        return l.join(r, [F.col(f"_on{i}") == r[c] for i, (c, _) in enumerate(self.on)])
+        rows = left.drop(*META).select("*", *[e.alias(f"_on{i}") for i, (_, e) in enumerate(self.on)])
+        return rows.join(right.drop(*META), [F.col(f"_on{i}") == F.col(c) for i, (c, _) in enumerate(self.on)])
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
