@@ -1,296 +1,412 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 The model is an interpolated bigram model: P(w | v) = (c(v w) + mu * P1(w)) / (c(v) + mu), with P1 the smoothed unigram
-probability; it sums to one up to the quantisation, because c(v) is the sum of c(v w). It is spread over shards by the hash
-of the n-gram, so a frequent word fills no shard. A shard's trie has sorted contexts, monotone pointers into the successors, the successors of
-each context in ascending order made monotone by their context's number, and for each n-gram two bytes for the quantised
-logarithm of its joint probability, which hold any count. All monotone sequences are Elias-Fano coded; the levels are written to one file and
-mapped into memory; a query is a successor search for the context and, relative to it, for the word.
-
-Corpus blocks ask and shards answer: a block sends each shard its own distinct n-grams with their training counts, the shard
-adds up all blocks' counts, builds its trie and answers every block in the order in which it asked, one code an n-gram. No
-vocabulary or model is collected or broadcast, and what is gathered grows with the corpus.
+probability; it sums to one up to the quantisation, because c(v) is the sum of c(v w). Its trie is spread over shards: words by
+their hash, n-grams by the hash of the n-gram, so a frequent word fills no shard. A word's place in its shard and the shard give
+it a number, and n-grams are of these numbers, so only the 64-bit hashes of words can collide.
+
+The words' level of a shard has their hashes, their counts as running sums, and the quantised logarithm of their smoothed
+probability. The n-grams' levels have the contexts with the quantised logarithm of their back-off weight, monotone pointers into
+the successors, and the successors, made monotone by their context's place, with the quantised logarithm of P(w | v). Monotone
+sequences are Elias-Fano coded in 64-bit words; a shard's levels lie in one memory map and are never decoded: a query is a
+successor search for the context and, in its range, for the word, by select and rank in the packed words.
+
+Corpus blocks ask and shards answer: a block sends a shard its own distinct words, then n-grams, with their training counts;
+the shard adds up all blocks' counts, builds its levels and answers every block in the order in which it asked, which the block
+finds again from its tokens. Texts are tokenised once; a block sends nothing to a shard of which it has nothing, so no more rows
+are sent than n-grams. No vocabulary or model is collected or broadcast, and what is gathered grows with the corpus.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zlib
+import mmap
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import written
 from tidewright.llm.shingles import WordHashes, mix
+from tidewright.llm.worker import release
 
-#: Tokens of a block, about; weight of the unigram model; steps of the logarithm beyond the exactly coded counts.
-BLOCK, MU, EXACT, STEP = 1_500_000, 300.0, 100, 0.025
-START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # never hashes of words but by a chance of 2^-64
+#: Tokens of a block, about; training and other tokens of a shard, about; weight of the unigram model.
+BLOCK, SHARD, MU = 1_000_000, 4_000_000, 300.0
+#: Steps of a code in one power of ten; the code of what isn't there.
+STEPS, NONE = 2048, 65535
+END = np.uint64(0x454E44)  # never the hash of a word but by a chance of 2^-64
+#: Numbers that no word has: the start of a text, a word that is not in the training texts.
+START, UNKNOWN, FIRST = 0, 1, 2
 
 
-# --- codes of counts: a joint probability is a count over the total, so its logarithm is quantised by the count's
-def code(counts: np.ndarray) -> np.ndarray:
-    """0 for none, the count itself up to EXACT, then logarithmic steps."""
-    c = np.maximum(counts, 1)
-    high = EXACT + np.ceil(np.log10(c / EXACT) / STEP)
-    return np.where(counts <= EXACT, counts, high).astype("<u2")  # the largest 64-bit count has code 779
+def code(probability: np.ndarray) -> np.ndarray:
+    """The quantised logarithm of probabilities down to 10^-31."""
+    return np.clip(np.rint(np.log10(probability) * -STEPS), 0, NONE - 1).astype("<u2")
 
 
 def value(codes: np.ndarray) -> np.ndarray:
-    c = codes.astype(np.float64)
-    return np.where(c <= EXACT, c, EXACT * 10 ** ((c - EXACT - 0.5) * STEP))
+    """The logarithms to base 10 of codes or of sums of codes."""
+    return codes.astype(np.float64) / -STEPS
 
 
-def pack_codes(codes: np.ndarray) -> bytes:
-    """All low bytes, then all high bytes, which are nearly all 0, compressed."""
-    return zlib.compress(codes.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+def squeezed(x: np.ndarray, kind: str) -> bytes:
+    """Numbers compressed byte by byte: first the low bytes of all, and so on."""
+    raw = np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize)
+    return zstandard.compress(np.ascontiguousarray(raw.T).tobytes(), 3)
 
 
-def unpack_codes(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, -1).T.copy().view("<u2").reshape(-1)
+def spread(data: bytes, kind: str) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(wide, -1).T).view(kind).reshape(-1)
 
 
 class EliasFano:
-    """A monotone sequence of 64-bit numbers: low bits packed, high bits in unary."""
+    """A monotone sequence of 64-bit numbers, queried where it lies: low bits packed, high bits in unary, and the number of
+    ones before each 64-bit word of these."""
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
         n = len(values)
         top = int(values[-1]) if n else 0
-        low = max(0, int(np.floor(np.log2((top + 1) / n)))) if n and top >= n else 0
-        bits = np.zeros((n, low), np.uint8)
-        for j in range(low):
-            bits[:, j] = (values >> np.uint64(j)) & np.uint64(1)
+        low = min(63, max(0, ((top + 1) // n).bit_length() - 1)) if n else 0
         high = (values >> np.uint64(low)).astype(np.int64)
-        unary = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
-        unary[high + np.arange(n)] = 1
-        a, b = np.packbits(bits.reshape(-1)).tobytes(), np.packbits(unary).tobytes()
-        return np.array([n, low, len(a), len(b), len(unary)], "<i8").tobytes() + a + b
+        packed = np.zeros(n * low // 64 + 2, np.uint64)
+        if low and n:
+            bit = np.arange(n, dtype=np.int64) * low
+            word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+            rest = values & np.uint64((1 << low) - 1)
+            for w, part in ((word, rest << shift), (word + 1, np.where(shift > 0, rest >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0)))):
+                starts = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                packed[w[starts]] |= np.bitwise_or.reduceat(part, starts)
+        at = high + np.arange(n)
+        unary = np.zeros(((int(high[-1]) if n else 0) + n) // 64 + 1, np.uint64)
+        if n:
+            starts = np.flatnonzero(np.append(True, at[1:] >> 6 != at[:-1] >> 6))
+            unary[at[starts] >> 6] = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), starts)
+        before = np.cumsum(np.bitwise_count(unary), dtype=np.int64) - np.bitwise_count(unary)
+        ones = before.astype("<u4") if n < 1 << 32 else before.astype("<i8")
+        head = np.array([n, low, len(packed), len(unary), ones.itemsize], "<i8").tobytes()
+        return head + packed.astype("<u8").tobytes() + unary.astype("<u8").tobytes() + ones.tobytes() + bytes(-ones.nbytes % 8)
+
+    def __init__(self, data: np.ndarray, at: int = 0):
+        """Views of the bytes from ``at``; ``end``: where they end."""
+        self.n, self.low, a, b, wide = (int(x) for x in data[at : at + 40].view("<i8"))
+        at += 40
+        self.packed, self.unary = data[at : at + 8 * a].view("<u8"), data[at + 8 * a : at + 8 * (a + b)].view("<u8")
+        at += 8 * (a + b)
+        self.ones = data[at : at + wide * b].view("<u4" if wide == 4 else "<i8")
+        self.end = at + wide * b + -(wide * b) % 8
+        self.zeros = np.arange(b, dtype=np.int64) * 64 - self.ones  # before each word: one number for 64 bits
+
+    def _in_word(self, word: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th one, from 0, of each word."""
+        word, k, place = word.copy(), k.astype(np.int64), np.zeros(len(k), np.int64)
+        for width in (32, 16, 8, 4, 2, 1):
+            count = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
+            right = k >= count
+            k -= np.where(right, count, 0)
+            place += np.where(right, width, 0)
+            word = np.where(right, word >> np.uint64(width), word)
+        return place
+
+    def _select(self, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+        w = np.searchsorted(before, k, side="right") - 1
+        word = self.unary[w]
+        return w * 64 + self._in_word(~word if flip else word, k - before[w])
+
+    def lows(self, i: np.ndarray) -> np.ndarray:
+        if not self.low:
+            return np.zeros(len(i), np.uint64)
+        bit = i.astype(np.int64) * self.low
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        over = self.packed[word + 1] << (np.uint64(63) - shift) << np.uint64(1)
+        return ((self.packed[word] >> shift) | over) & np.uint64((1 << self.low) - 1)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        i = np.asarray(i, np.int64)
+        high = self._select(self.ones, i, False) - i
+        return (high.astype(np.uint64) << np.uint64(self.low)) | self.lows(i)
+
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of values below x, whether the next value is x) of each x."""
+        x = np.asarray(x, np.uint64)
+        if not self.n:
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        top = int(self.get(np.array([self.n - 1]))[0])
+        inside = x <= np.uint64(top)
+        h = (np.minimum(x, np.uint64(top)) >> np.uint64(self.low)).astype(np.int64)
+        bits = np.where(inside, x, np.uint64(0)) & np.uint64((1 << self.low) - 1)
+        begin = np.where(h > 0, self._select(self.zeros, np.maximum(h - 1, 0), True) - np.maximum(h - 1, 0), 0)
+        # the last bucket ends with the sequence; before it there are zeros enough
+        last = h >= top >> self.low
+        end = np.where(last, self.n, self._select(self.zeros, np.where(last, 0, h), True) - h)
+        low, high = begin, end.copy()
+        while (wide := low < high).any():
+            mid = (low + high) >> 1
+            less = wide & (self.lows(np.minimum(mid, self.n - 1)) < bits)
+            low, high = np.where(less, mid + 1, low), np.where(wide & ~less, mid, high)
+        found = inside & (low < end) & (self.lows(np.minimum(low, self.n - 1)) == bits)
+        return np.where(inside, low, self.n), found
+
+
+def mapped(data: bytes) -> np.ndarray:
+    """The bytes in an anonymous memory map: outside the interpreter's heap, given back when nothing views it."""
+    m = mmap.mmap(-1, max(1, len(data)))
+    m.write(data)
+    return np.frombuffer(m, np.uint8, len(data))
+
+
+class Words:
+    """The words' level: hashes, counts as running sums, codes of the smoothed probability but for the level's normaliser."""
 
     @staticmethod
-    def decode(data: np.ndarray) -> tuple[np.ndarray, int]:
-        """(values, bytes used) from an array of bytes."""
-        n, low, a, b, m = (int(x) for x in data[:40].view("<i8"))
-        bits = np.unpackbits(data[40 : 40 + a])[: n * low].reshape(n, low)
-        out = np.zeros(n, np.uint64)
-        for j in range(low):
-            out |= bits[:, j].astype(np.uint64) << np.uint64(j)
-        ones = np.flatnonzero(np.unpackbits(data[40 + a : 40 + a + b])[:m])
-        return out | ((ones - np.arange(n)).astype(np.uint64) << np.uint64(low)), 40 + a + b
+    def build(hashes: np.ndarray, counts: np.ndarray, tokens: int) -> bytes:
+        """hashes: sorted, distinct; tokens: of all shards. The normaliser is (tokens + 0.5 * (kinds + 1)) / tokens."""
+        total = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64)
+        return EliasFano.encode(hashes) + EliasFano.encode(total) + code((counts + 0.5) / max(tokens, 1)).tobytes()
+
+    def __init__(self, data: np.ndarray):
+        self.hashes = EliasFano(data)
+        self.total = EliasFano(data, self.hashes.end)
+        self.codes = data[self.total.end :].view("<u2")
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place or -1, count, code) of each word."""
+        at, there = self.hashes.successor(hashes)
+        place = np.where(there, at, -1)
+        count, codes = np.zeros(len(at), np.int64), np.full(len(at), NONE, "<u2")
+        if there.any():
+            at = at[there]
+            count[there] = (self.total.get(at + 1) - self.total.get(at)).astype(np.int64)
+            codes[there] = self.codes[at]
+        return place, count, codes
 
 
 class Trie:
-    """Bigrams by 32 bits of the context's and 32 of the word's hash."""
+    """The n-grams' levels: contexts, their back-off codes, pointers, successors, their codes."""
 
     @staticmethod
-    def build(keys: np.ndarray, counts: np.ndarray) -> bytes:
-        """keys: sorted, distinct, context in the upper half."""
-        context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        names, starts = np.unique(context, return_index=True)
-        number = np.repeat(np.arange(len(names), dtype=np.uint64), np.diff(np.append(starts, len(keys))))
-        levels = [EliasFano.encode(names), EliasFano.encode(np.append(starts, len(keys)).astype(np.uint64)), EliasFano.encode((number << np.uint64(32)) | word)]
-        return b"".join(x + bytes(-len(x) % 8) for x in levels) + code(counts).tobytes()
-
-    def __init__(self, path: str):
-        data = np.memmap(path, np.uint8, "r")
-        at = 0
-        levels = []
-        for _ in range(3):
-            x, used = EliasFano.decode(data[at:])
-            levels.append(x)
-            at += used + -used % 8
-        self.contexts, self.pointers, self.words = levels
-        self.codes = data[at:].view("<u2")
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The code of each key, 0 if it isn't there."""
-        if not len(self.contexts):
-            return np.zeros(len(keys), "<u2")
-        context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        c = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-        there = self.contexts[c] == context
-        want = (c.astype(np.uint64) << np.uint64(32)) | word  # relative to the context: its number is the upper half
-        w = np.minimum(np.searchsorted(self.words, want), len(self.words) - 1)
-        inside = (w >= self.pointers[c]) & (w < self.pointers[c + 1])
-        return np.where(there & inside & (self.words[w] == want), self.codes[w], 0).astype("<u2")
+    def build(contexts: np.ndarray, words: np.ndarray, back: np.ndarray, codes: np.ndarray) -> bytes:
+        """The n-grams (context, word) sorted, distinct; ``back`` and ``codes`` of each n-gram."""
+        names, starts = np.unique(contexts, return_index=True)
+        place = np.repeat(np.arange(len(names), dtype=np.uint64), np.diff(np.append(starts, len(contexts))))
+        wide = int(words.max(initial=0)).bit_length()
+        if wide + len(names).bit_length() > 64:
+            raise ValueError("too many n-grams in one shard")
+        levels = [EliasFano.encode(x.astype(np.uint64)) for x in (names, np.append(starts, len(contexts)), (place << np.uint64(wide)) | words.astype(np.uint64))]
+        return np.array([wide], "<i8").tobytes() + b"".join(levels) + back[starts].astype("<u2").tobytes() + codes.astype("<u2").tobytes()
+
+    def __init__(self, data: np.ndarray):
+        self.wide = int(data[:8].view("<i8")[0])
+        self.contexts = EliasFano(data, 8)
+        self.pointers = EliasFano(data, self.contexts.end)
+        self.words = EliasFano(data, self.pointers.end)
+        codes = data[self.words.end :].view("<u2")
+        self.back, self.codes = codes[: self.contexts.n], codes[self.contexts.n :]
+
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The code of each n-gram, NONE if it isn't there."""
+        out = np.full(len(words), NONE, "<u2")
+        names, of = np.unique(contexts, return_inverse=True)
+        c, there = self.contexts.successor(names.astype(np.uint64))
+        some = np.flatnonzero(there[of] & (words < 1 << self.wide))
+        if not len(some):
+            return out
+        begin, end = (self.pointers.get(np.minimum(c, self.contexts.n - 1) + k).astype(np.int64)[of[some]] for k in (0, 1))
+        at, found = self.words.successor((c[of[some]].astype(np.uint64) << np.uint64(self.wide)) | words[some].astype(np.uint64))
+        found &= (begin <= at) & (at < end)
+        out[some[found]] = self.codes[at[found]]
+        return out
 
 
-class Block:
-    """Documents of one task, tokenised: ids, training flags and tokens one document after another, the end of each last."""
+def _packed(arrays: list[tuple[np.ndarray, str]]) -> bytes:
+    parts = [squeezed(x, kind) for x, kind in arrays]
+    return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
+
+
+def _unpacked(data: bytes, kinds: list[str]) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, "<i8", len(kinds) + 1)[1:]
+    at = np.cumsum([8 * (len(kinds) + 1), *sizes])
+    return [spread(data[a:z], kind) for a, z, kind in zip(at[:-1], at[1:], kinds, strict=True)]
+
+
+#: A block's payload: ids, known ids, training flags, sizes, tokens as numbers of its words, shards of its words.
+PAYLOAD = ["<i8", "u1", "u1", "<i8", "<u4", "<u4"]
+#: What a shard tells of words: numbers, counts, codes. What a block asks of n-grams: steps between the contexts' numbers, which
+#: ascend, words' numbers, training counts, the contexts' counts, the words' codes.
+TOLD, ASKED = ["<i8", "<i8", "<u2"], ["<i8", "<i8", "<i8", "<i8", "<u2"]
+
+
+def _shard(x: np.ndarray, n: int) -> np.ndarray:
+    return (mix(x) % np.uint64(n)).astype(np.int64)
+
 
-    def __init__(self, name: int, ids: list, train: list[bool], docs: list[np.ndarray]):
-        self.name, self.ids = name, ids
-        self.sizes = np.array([len(d) + 1 for d in docs], np.int64)
-        tokens = np.empty(int(self.sizes.sum()), np.uint64)
-        ends = np.cumsum(self.sizes) - 1
+def _blocks(docs: DataFrame, shards: int) -> DataFrame:
+    """(block, words, counts, payload, trained, starts): the documents of a task in blocks, tokenised, the end of each the last of
+    its tokens; words by falling frequency, with their training counts."""
+
+    def closed(name: int, ids: list, train: list[bool], docs: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(d) + 1 for d in docs], np.int64)
+        tokens = np.full(int(sizes.sum()), END, np.uint64)
         body = np.ones(len(tokens), bool)
-        body[ends] = False
-        tokens[body] = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
-        tokens[ends] = END
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[np.append(0, ends[:-1] + 1)] = START
-        self.train = np.array(train)
-        seen = np.repeat(self.train, self.sizes)
-        self.words, self.token = np.unique(tokens, return_inverse=True)
-        self.counts = np.bincount(self.token, seen, len(self.words)).astype(np.int64)
-        # 32 bits each, mixed so that nearby hashes don't share them
-        pair = ((mix(before) >> np.uint64(32)) << np.uint64(32)) | (mix(tokens ^ np.uint64(0xABCDEF)) >> np.uint64(32))
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
-        self.pair_counts = np.bincount(self.pair, seen, len(self.pairs)).astype(np.int64)
-
-    def shards(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        return (mix(self.words) % np.uint64(n)).astype(np.int64), (mix(self.pairs) % np.uint64(n)).astype(np.int64)
-
-    def payload(self) -> bytes:
-        """What scoring needs besides the answers: tokens as numbers of the block's words and pairs."""
-        known = np.array([i is not None for i in self.ids])
-        ids = np.array([i or 0 for i in self.ids], "<i8")
-        parts = [ids.tobytes(), known.tobytes(), self.train.tobytes(), self.sizes.astype("<i8").tobytes(), self.token.astype("<u4").tobytes(), self.pair.astype("<u4").tobytes()]
-        return zlib.compress(np.array([len(ids), len(self.token), len(self.words), len(self.pairs)], "<i8").tobytes() + b"".join(parts), 1)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    hashes, task, n = WordHashes(), TaskContext.get().partitionId(), 0
-    ids, train, docs, size = [], [], [], 0
-    for b in batches:
-        for doc_id, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            ids.append(doc_id)
-            train.append(held != 1)
-            docs.append(hashes.of((text.as_py() or "").encode("utf-8", "surrogatepass")))
-            size += len(docs[-1]) + 1
-            if size >= BLOCK:
-                yield Block(task << 20 | n, ids, train, docs)
-                ids, train, docs, size, n = [], [], [], 0, n + 1
-    if ids:
-        yield Block(task << 20 | n, ids, train, docs)
-
-
-def _small(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype("<u4").tobytes(), 1)
+        body[np.cumsum(sizes) - 1] = False
+        tokens[body] = np.concatenate(docs)
+        words, token, n = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        words, token = words[order], place[token]
+        seen = np.repeat(np.array(train), sizes)
+        counts = np.bincount(token[seen], minlength=len(words))
+        payload = [np.array([i or 0 for i in ids]), np.array([i is not None for i in ids]), np.array(train), sizes, token, _shard(words, shards)]
+        cols = [([name], pa.int64()), ([words.astype("<u8").tobytes()], pa.binary()), ([squeezed(counts, "<u4")], pa.binary()), ([_packed([*zip(payload, PAYLOAD, strict=True)])], pa.binary()), ([int(seen.sum())], pa.int64()), ([sum(train)], pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["block", "words", "counts", "payload", "trained", "starts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, task, n = WordHashes(), TaskContext.get().partitionId(), 0
+        ids, train, docs, size = [], [], [], 0
+        for b in batches:
+            for doc_id, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                ids.append(doc_id)
+                train.append(held != 1)
+                docs.append(hashes.of((text.as_py() or "").encode("utf-8", "surrogatepass")))
+                size += len(docs[-1]) + 1
+                if size >= BLOCK:
+                    yield closed(task << 24 | n, ids, train, docs)
+                    ids, train, docs, size, n = [], [], [], 0, n + 1
+        if ids:
+            yield closed(task << 24 | n, ids, train, docs)
+        hashes.clear()
+        release()
+
+    return docs.mapInArrow(run, "block long, words binary, counts binary, payload binary, trained long, starts long")
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places) of the shards that occur, in ascending order."""
+    order = np.argsort(shard, kind="stable")
+    found, starts = np.unique(shard[order], return_index=True)
+    for s, a, z in zip(found.tolist(), starts, [*starts[1:], len(order)], strict=False):  # none if there are none
+        yield s, order[a:z]
+
+
+class Block:
+    """A block with what the shards told of its words: its distinct n-grams, and the n-gram of each token."""
+
+    def __init__(self, payload: bytes, told: dict[int, bytes], shards: int, starts: int, normal: float, offset: int, mu: float):
+        """told: by shard. normal: the denominator of the unigram model; offset: the words' level's normaliser in steps."""
+        self.ids, self.known, self.train, self.sizes, token, shard = _unpacked(payload, PAYLOAD)
+        number, count, codes = np.empty(len(shard), np.int64), np.empty(len(shard), np.int64), np.empty(len(shard), "<u2")
+        for s, at in _by_shard(shard):
+            number[at], count[at], codes[at] = _unpacked(told[s], TOLD)
+        unseen = int(code(np.array([0.5 / normal]))[0])
+        one = np.where(codes == NONE, unseen, np.minimum(codes.astype(np.int64) + offset, NONE - 1))
+        self.begin = np.append(0, np.cumsum(self.sizes)[:-1])
+        token = token.astype(np.int64)
+        self.count = count[token]
+        before = np.empty(len(token), np.int64)
+        before[1:] = token[:-1] + 1
+        before[self.begin] = 0  # the start; others are one more than their word's number in the block
+        pair, self.which = np.unique(before * len(shard) + token, return_inverse=True)
+        first, second = pair // len(shard), pair % len(shard)
+        self.context, self.word = np.append(START, number)[first], number[second]
+        self.total, self.one = np.append(starts, count)[first], one[second]
+        self.back = np.minimum(code(mu / (self.total + mu)).astype(np.int64) + self.one, NONE - 1)
+        self.shards = shards
+
+    def questions(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, n-grams) of the n-grams whose words are both known, by ascending numbers."""
+        at = np.flatnonzero((self.context != UNKNOWN) & (self.word != UNKNOWN))
+        at = at[np.lexsort((self.word[at], self.context[at]))]
+        spot = _shard(self.context[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.word[at].view(np.uint64), self.shards)
+        for s, some in _by_shard(spot):
+            yield s, at[some]
+
+    def asked(self) -> list[tuple[int, bytes]]:
+        seen = np.bincount(self.which, np.repeat(self.train, self.sizes), len(self.context)).astype(np.int64)
+        return [(s, _packed([*zip((np.diff(self.context[p], prepend=0), self.word[p], seen[p], self.total[p], self.one[p]), ASKED, strict=True)])) for s, p in self.questions()]
+
+    def scored(self, answers: dict[int, bytes], tokens: int, normal: float) -> pd.DataFrame:
+        codes = self.back.copy()
+        for s, p in self.questions():
+            got = spread(answers[s], "<u2").astype(np.int64)
+            codes[p] = np.where(got == NONE, codes[p], got)
+        ids = pd.array(self.ids, dtype="Int64")
+        ids[self.known == 0] = pd.NA
+        add = lambda x: np.add.reduceat(x, self.begin)
+        return pd.DataFrame({"doc_id": ids, "held_out": self.train == 0, "n_tokens": self.sizes, "n_known": add((self.count > 0).astype(np.int64)), "train_tokens": np.full(len(ids), tokens), "base_score": add(np.log10((self.count + 0.5) / normal)), "score": value(add(codes[self.which]))})
 
 
 def scores(docs: DataFrame, fold: int = 5, held: int = 1, mu: float = MU) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Trained on the rows whose crc32(doc_id as text) mod ``fold`` is not ``held``. Null text is empty and has one token, its
-    end; a null doc_id counts as ''; repeated rows are trained on and scored each; other columns are ignored. Without
-    training rows every probability is the unigram model's of nothing. ``docs`` must read the same rows in the same
-    partitions when it is read again; a block whose second reading differs stops the query.
+    end; a null doc_id counts as ''; repeated rows are trained on and scored each; other columns are ignored; a table without
+    rows has no scores. Without training rows every probability is the unigram model's of nothing.
     """
+    spark = docs.sparkSession
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % fold
     rows = docs.select("doc_id", F.when(crc == held, 1).otherwise(0).alias("held"), "text")
-    n = 2 * max(8, rows.rdd.getNumPartitions())
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches):
-            of_words, of_pairs = b.shards(n)
-            by_word, by_pair = np.argsort(of_words, kind="stable"), np.argsort(of_pairs, kind="stable")
-            cut_w, cut_p = (np.searchsorted(x, np.arange(n + 1)) for x in (of_words[by_word], of_pairs[by_pair]))
-            for s in range(n):
-                w, p = by_word[cut_w[s] : cut_w[s + 1]], by_pair[cut_p[s] : cut_p[s + 1]]
-                starts = int(b.train.sum()) if s == 0 else 0
-                cols = [[b.name], [s], [b.words[w].astype("<u8").tobytes()], [_small(b.counts[w])], [b.pairs[p].astype("<u8").tobytes()], [_small(b.pair_counts[p])], [starts]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "shard", "words", "counts", "pairs", "pair_counts", "starts"])
-
-    def sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        k, where = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(where, np.concatenate(counts), len(k)).astype(np.int64)
-        return k[c > 0], c[c > 0]
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        read = lambda col, kind: [np.frombuffer(x, kind) for x in pdf[col]]
-        counts = lambda col: [np.frombuffer(zlib.decompress(x), "<u4") for x in pdf[col]]
-        asked_words, asked_pairs = read("words", "<u8"), read("pairs", "<u8")
-        words, total = sums(asked_words, counts("counts"))
-        keys, joint = sums(asked_pairs, counts("pair_counts"))
-        file = tempfile.NamedTemporaryFile(delete=False)
-        try:
-            with file:
-                file.write(Trie.build(keys, joint))
-            trie = Trie(file.name)
-            codes = [pack_codes(trie.find(p)) for p in asked_pairs]
-        finally:
-            os.unlink(file.name)
-        replies = []
-        for w in asked_words:
-            at = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
-            replies.append(_small(np.where(words[at] == w, total[at], 0) if len(words) else np.zeros(len(w), np.int64)))
-        out = pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "payload": None, "counts": replies, "codes": codes})
-        extra = pd.DataFrame({"block": [-1], "shard": pdf["shard"].iloc[:1], "payload": None, "counts": [np.array([total.sum(), len(words), pdf["starts"].sum()], "<i8").tobytes()], "codes": None})
-        return pd.concat([out, extra], ignore_index=True)
-
-    reply = "block long, shard int, payload binary, counts binary, codes binary"
-    asked = rows.mapInArrow(ask, "block long, shard int, words binary, counts binary, pairs binary, pair_counts binary, starts long")
-    replies = written(asked.groupBy("shard").applyInPandas(answer, reply), "ngram-replies")
-    total = np.zeros(3, np.int64)
-    for r in replies.filter("block = -1").select("counts").toLocalIterator():  # three numbers a shard
-        total += np.frombuffer(r["counts"], "<i8")
-    tokens, kinds, starts = (int(x) for x in total)
-
-    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches):
-            none = pa.nulls(1, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([b.name]), pa.array([-1], pa.int32()), pa.array([_Keyed.pack(b, n)], pa.binary()), none, none], ["block", "shard", "payload", "counts", "codes"])
+    size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # tokens, about
+    n = max(1, -(-size // SHARD), min(spark.sparkContext.defaultParallelism, size // 100_000))
+    blocks = written(_blocks(rows, n), "ngram-blocks")
+    tokens, starts = (int(x or 0) for x in blocks.agg(F.sum("trained"), F.sum("starts")).first())
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, words, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words, counts = np.frombuffer(words, "<u8"), spread(counts, "<u4")
+                for s, at in _by_shard(_shard(words, n)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([s], pa.int32()), pa.array([words[at].tobytes()], pa.binary()), pa.array([squeezed(counts[at], "<u4")], pa.binary())], ["block", "shard", "words", "counts"])
+
+    def tell_words(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0])
+        asked = [np.frombuffer(x, "<u8") for x in pdf["words"]]
+        names, where = np.unique(np.concatenate(asked), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([spread(x, "<u4") for x in pdf["counts"]]), len(names)).astype(np.int64)
+        level, told = Words(mapped(Words.build(names[counts > 0], counts[counts > 0], tokens))), []
+        for x in asked:
+            place, count, codes = level.find(x)
+            told.append(_packed([*zip((np.where(place < 0, UNKNOWN, FIRST + place * n + shard), count, codes), TOLD, strict=True)]))
+        kinds = pd.DataFrame({"block": [-1], "shard": [shard], "data": [None], "kinds": [int((counts > 0).sum())]})
+        return pd.concat([pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "data": told, "kinds": 0}), kinds], ignore_index=True)
+
+    asked = blocks.select("block", "words", "counts").mapInArrow(ask_words, "block long, shard int, words binary, counts binary")
+    told = written(asked.groupBy("shard").applyInPandas(tell_words, "block long, shard int, data binary, kinds long"), "ngram-words")
+    kinds = int(told.filter("block = -1").agg(F.sum("kinds")).first()[0] or 0)
+    normal = tokens + 0.5 * (kinds + 1)
+    offset = int(np.rint(np.log10(normal / max(tokens, 1)) * STEPS))
+
+    def block_of(pdf: pd.DataFrame) -> Block:
+        by = {k: dict(zip(x["shard"], x["data"], strict=True)) for k, x in pdf.groupby("kind")}
+        return Block(by[0][-1], by[1], n, starts, normal, offset, mu)
+
+    def ask_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = block_of(pdf).asked()
+        return pd.DataFrame({"block": int(pdf["block"].iloc[0]), "shard": [s for s, _ in out], "data": [x for _, x in out]})
+
+    def tell_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = [_unpacked(x, ASKED) for x in pdf["data"]]
+        asked = [(np.cumsum(x[0]), *x[1:]) for x in asked]
+        context, word, seen, total, one = (np.concatenate([x[i] for x in asked]) for i in range(5))
+        order = np.lexsort((word, context))
+        cut = np.flatnonzero(np.append(True, (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])))
+        joint = np.add.reduceat(seen[order], cut)
+        some, joint = order[cut[joint > 0]], joint[joint > 0]
+        back = mu / (total[some] + mu)
+        trie = Trie(mapped(Trie.build(context[some], word[some], code(back), code(joint / (total[some] + mu) + back * 10 ** value(one[some])))))
+        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "data": [squeezed(trie.find(x[0], x[1]), "<u2") for x in asked]})
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["shard"] == -1]
-        if len(own) != 1 or len(pdf) != n + 1:
-            raise ValueError("the documents' partitions changed between two readings")
-        k = _Keyed(own["payload"].iloc[0])
-        counts, codes = np.zeros(k.words, np.int64), np.zeros(k.pairs, "<u2")
-        for s, c, q in zip(pdf["shard"], pdf["counts"], pdf["codes"], strict=True):
-            if s >= 0:
-                w, p = np.frombuffer(zlib.decompress(c), "<u4"), unpack_codes(q)
-                if len(w) != (k.of_words == s).sum() or len(p) != (k.of_pairs == s).sum():
-                    raise ValueError("the documents' partitions changed between two readings")
-                counts[k.of_words == s], codes[k.of_pairs == s] = w, p
-        c = counts[k.token]
-        first = np.zeros(len(c), bool)
-        first[np.append(0, np.cumsum(k.sizes)[:-1])] = True
-        context = np.empty(len(c), np.float64)
-        context[1:] = c[:-1]
-        context[first] = starts
-        one = (c + 0.5) / (tokens + 0.5 * (kinds + 1))
-        both = (value(codes)[k.pair] + mu * one) / (context + mu)
-        at = np.append(0, np.cumsum(k.sizes)[:-1])
-        add = lambda x: np.add.reduceat(x, at)
-        ids = pd.array(np.where(k.known, k.ids, 0), dtype="Int64")
-        ids[~k.known] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "held_out": ~k.train, "n_tokens": k.sizes, "n_known": add((c > 0).astype(np.int64)), "train_tokens": np.full(len(at), tokens), "base_score": add(np.log10(one)), "score": add(np.log10(both))})
-
-    blocks = rows.mapInArrow(carry, reply)
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.unionByName(replies.filter("block >= 0")).groupBy("block").applyInPandas(judge, out)
-
-
-class _Keyed:
-    """A block's payload with the shards that its words and pairs went to, as read back."""
-
-    @staticmethod
-    def pack(b: Block, n: int) -> bytes:
-        w, p = b.shards(n)
-        return len(x := zlib.compress(w.astype("<u4").tobytes() + p.astype("<u4").tobytes(), 1)).to_bytes(8, "little") + x + b.payload()
-
-    def __init__(self, data: bytes):
-        size = int.from_bytes(data[:8], "little")
-        shards = np.frombuffer(zlib.decompress(data[8 : 8 + size]), "<u4")
-        raw = zlib.decompress(data[8 + size :])
-        d, t, self.words, self.pairs = (int(x) for x in np.frombuffer(raw[:32], "<i8"))
-        at = 32
-
-        def take(n: int, kind: str) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.ids, self.known, self.train = take(d, "<i8"), take(d, "?"), take(d, "?")
-        self.sizes, self.token, self.pair = take(d, "<i8"), take(t, "<u4"), take(t, "<u4")
-        self.of_words, self.of_pairs = shards[: self.words], shards[self.words :]
+        answers = pdf[pdf["kind"] == 2]
+        return block_of(pdf).scored(dict(zip(answers["shard"], answers["data"], strict=True)), tokens, normal)
+
+    kind = lambda df, k: df.select("block", F.lit(k).alias("kind"), "shard", "data")
+    known = kind(blocks.select("block", F.lit(-1).alias("shard"), F.col("payload").alias("data")), 0).unionByName(kind(told.filter("block >= 0"), 1))
+    pairs = known.groupBy("block").applyInPandas(ask_pairs, "block long, shard int, data binary")
+    answered = written(pairs.groupBy("shard").applyInPandas(tell_pairs, "block long, shard int, data binary"), "ngram-answers")
+    return known.unionByName(kind(answered, 2)).groupBy("block").applyInPandas(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
