@@ -224,12 +224,15 @@ class ContinuousQuery:
     last: int = -1
 
     def seed(self, snapshot: DataFrame) -> DataFrame:
-        """Starts from a state with its sequence numbers; what a subscriber gets first."""
+        """Starts from a state with its sequence numbers; what a subscriber gets first, written beside the state, whose first
+        version goes as batches come."""
         rows = self.table.merge(snapshot, -1)[1]
         if self.kind == "aggregate":
             self.view.apply(self._kept(rows), self._kept(rows).limit(0), -1)
-            return self.view.read(-1)
-        return self._kept(rows).drop(*META)
+        first = self.view.read(-1) if self.kind == "aggregate" else self._kept(rows).drop(*META)
+        path = f"{self.table.path}/snapshot"
+        first.write.mode("overwrite").parquet(path)
+        return self.table.spark.read.schema(first.schema).parquet(path)
 
     def _kept(self, rows: DataFrame) -> DataFrame:
         return rows.filter(F.coalesce(F.expr(self.where), F.lit(False))) if self.where else rows
