@@ -91,3 +91,58 @@ def test_shingles_of_few_words():
 
 def test_empty_table(spark):
     assert partenum.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_stay_in_proportion(spark, monkeypatch):
+    """A passage that 1,500 documents share, half of them copies with a changed word: rows follow members, not their pairs."""
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    page = [f"q{i}" for i in range(60)]
+    texts = []
+    for d in range(1500):
+        own = [f"d{d}x{i}" for i in range(14 + d % 3)] if d % 2 else [w if r.random() > 0.01 else f"c{r.randrange(9)}" for w in page]
+        texts.append((d, f"{passage} {' '.join(own)}"))
+    made = {}
+    original = partenum.written
+
+    def spy(df, name):
+        out = original(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(partenum, "written", spy)
+    monkeypatch.setattr(partenum, "TILE", 64)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in partenum.join(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert got == brute(texts, 5, 80, 100)
+    members = made["near-members"]
+    for name in ("near-stars", "near-likely", "near-more", "near-undecided", "near-joining"):
+        assert made.get(name, 0) <= 30 * members, (name, made)
+
+
+def test_large_buckets_are_passed_on(spark, monkeypatch):
+    data = corpus(4, 250)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    rows = partenum._emit(df, 4, 85, 100).repartition(1, "key").sortWithinPartitions("key", "node").cache()
+    want = {tuple(r) for r in partenum._gather(rows).filter("kind = 1").select("a", "b").collect()}
+    whole = {}
+    for r in rows.filter("extra IS NULL").collect():
+        whole.setdefault(r["key"], set()).add(r["node"])
+    passed = partenum.HELD
+    try:
+        import tidewright.llm.partenum as module
+
+        def gathered(sorted_rows):
+            return module._gather(sorted_rows)
+
+        monkeypatch.setattr(module, "HELD", 3)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+        small = gathered(rows)
+        got = small.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert passed > 3 and {(r["a"], r["b"]) for r in got if r["kind"] == 1} == want
+    by = {}
+    for r in got:
+        if r["kind"] == 2:
+            by.setdefault(r["a"], set()).add(r["b"])
+    assert {frozenset(v) for v in whole.values() if len(v) > 2} <= {frozenset(v) for v in by.values()}

@@ -11,7 +11,10 @@ passage; d is the most that a set of this size can differ from a similar one of
 
 Sets that are equal are one node from the start. Buckets of a signature are not expanded into pairs: each member is compared
 with the bucket's least member, components are formed, and only members of different components are looked at again, in tiles
-of bounded size: first along a forest of likely links, then, with what that joined, all that is left, behind a bound on the intersection from sketches that no similar pair fails. Comparisons are exact.
+of bounded size: first along a forest of likely links, then the rest. Of the rest, members whose sketches (a bound on the
+intersection that no similar pair fails) leave nobody of another component drop out; the others' whole sets meet in tiles,
+components are joined at once, and only the links that join go out: fewer than a tile has members. Words, shingles and equal sets are told apart by 64-bit hashes, and
+intersections are counted over all of them; a wrong link needs two different shingles or sets of the same 64 bits.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ from tidewright.llm.worker import release
 
 #: Differences up to which the subsets of three subparts are enumerated; parts beyond k + 1 of longer sets.
 SHORT, SLACK = 12, 2
-#: Members of one tile's side.
-TILE = 1024
+#: Members of one tile's side, and their features where whole sets meet.
+TILE, FEATURES = 1024, 2_000_000
+#: Members of a bucket that are held at once; a larger one is passed on as it is read.
+HELD = 1_000_000
 #: Documents handled together.
 GROUP = 256
 
@@ -224,20 +229,42 @@ def _gather(sorted_rows: DataFrame) -> DataFrame:
             pair = np.unique(np.stack([of[many > 2], node[many > 2]], 1), axis=0)
             yield rows(2, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
 
+    def passed(key: int, least: int, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A part of a bucket too large to hold: it is named by its signature, and its rows are sorted, so the least is known."""
+        node = node[np.concatenate([[True], node[1:] != node[:-1]])]
+        yield rows(1, node[node != least], np.full(int((node != least).sum()), least))
+        yield rows(2, np.full(len(node), key), node)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last bucket, which may go on
+        size, large = 0, None  # large: (key, least) of a bucket that is passed on
         for b in batches:
             extra = b.column(2)
             doc = np.asarray(extra.is_valid())
             k, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             if doc.any():
                 yield rows(0, k[doc], n[doc], extra.filter(pa.array(doc)))
-            key, node = np.concatenate([key, k[~doc]]), np.concatenate([node, n[~doc]])
-            if len(key):
-                cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
-                yield from closed(key[:cut], node[:cut])
-                key, node = key[cut:], node[cut:]
-        yield from closed(key, node)
+            k, n = k[~doc], n[~doc]
+            if large and len(k):
+                more = int(np.searchsorted(k, large[0], side="right"))
+                if more:
+                    yield from passed(*large, n[:more])
+                k, n, large = k[more:], n[more:], large if more == len(k) else None
+            if not len(k):
+                continue
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut or (held and held[0][0][0] != k[0]):
+                yield from closed(*(np.concatenate(c) for c in zip(*held, (k[:cut], n[:cut]), strict=True)))
+                held, size = [], 0
+            held.append((k[cut:], n[cut:]))
+            size += len(k) - cut
+            if size > HELD:
+                large = int(k[-1]), int(held[0][1][0])
+                for _, x in held:
+                    yield from passed(*large, x)
+                held, size = [], 0
+        if held:
+            yield from closed(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return sorted_rows.mapInArrow(run, "kind int, a long, b long, extra binary")
 
@@ -286,7 +313,7 @@ def _possible(pairs: DataFrame, docs_of: DataFrame, num: int, den: int) -> DataF
     """The pairs (a, b) that sizes and sketches don't rule out."""
     facts = _facts(docs_of, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     a, b = (facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns]) for s in "ab")
-    p = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+    p = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).select("a", "b", "size_a", "size_b", "data_a", "data_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -299,81 +326,164 @@ def _possible(pairs: DataFrame, docs_of: DataFrame, num: int, den: int) -> DataF
 
 
 def _facts(docs_of: DataFrame, nodes: DataFrame) -> DataFrame:
-    return written(docs_of.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "size", "sketch"), "near-facts")
+    return written(docs_of.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "size", F.col("sketch").alias("data")), "near-facts")
 
 
-def _left_over(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: int, den: int, all_: bool) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that the sketches don't rule out: all of them, or only a forest of
-    the likeliest ones that would join each tile's components if all were links; then a row (bucket, null) says that a bucket
-    may hold more."""
-    m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, node, root, n) of the buckets whose members are of more than one component; n: the bucket's members."""
+    m = members.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = m.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    m = written(m.join(open_.select("sig", F.ceil(F.col("n") / TILE).cast("int").alias("c")), "sig"), "near-open")
-    facts = _facts(docs_of, m.select("node").distinct())
-    m = m.withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    return written(m.join(open_.select("sig", "n"), "sig"), "near-open")
+
+
+def _tiled(m: DataFrame, facts: DataFrame, parts: Column) -> DataFrame:
+    """Rows of (sig, node, root) with the facts of their nodes (node, size, data), sorted by tile: a bucket's members are
+    dealt into ``parts`` sides, and every two sides meet in a tile (sig, lo, hi)."""
+    m = m.withColumn("c", parts.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     m = m.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).join(facts, "node")
-    m = m.select("sig", "lo", "hi", "own", "node", "root", "size", "sketch").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "node")
+    return m.select("sig", "lo", "hi", "own", "node", "root", "size", "data").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "node")
+
+
+class Tile:
+    """Members of one tile: which two sides, and by member its side, node, root, size and data."""
 
-    def tile(lo: int, hi: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, both: Sketches) -> tuple[np.ndarray, np.ndarray, bool]:
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        label = root.copy()
-        a, b, more = [], [], False
+    def __init__(self, t: pa.Table):
+        self.sig, self.lo, self.hi = (t.column(i)[0].as_py() for i in range(3))
+        self.own, self.node, self.root, self.size = (t.column(i).to_numpy() for i in range(3, 7))
+        self.data = t.column(7)
+
+    def others(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member of the first side, and those of the second that it has to be compared with but for their components."""
+        left, right = np.flatnonzero(self.own == self.lo), np.flatnonzero(self.own == self.hi)
         for i in left:
-            j = right[node[right] > node[i]] if lo == hi else right
-            j = j[root[j] != root[i]]
-            n, j = len(j), j[label[j] != label[i]]
-            more |= len(j) < n
-            if not len(j):
-                continue
-            ok, bound = both.may(i, j)
-            j = j[ok]
-            if not all_ and len(j):
-                j = j[np.lexsort((-bound[ok], label[j]))]
-                more |= len(j) > len(_runs(label[j]))
-                j = j[_runs(label[j])]  # the likeliest of each component, which then counts as joined
-                label[np.isin(label, label[j])] = label[i]
-            a.append(np.full(len(j), node[i]))
-            b.append(node[j])
-        none = np.zeros(0, np.int64)
-        return (np.concatenate(a), np.concatenate(b), more) if a else (none, none, more)
+            yield i, right[self.node[right] > self.node[i]] if self.lo == self.hi else right
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[Tile]:
+    """The tiles of two members or more, from rows sorted by tile."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        c = [b.column(i).to_numpy() for i in range(3)]
+        new = (np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1).tolist()
+        for s, e in zip([0, *new], [*new, b.num_rows], strict=True):
+            key = tuple(int(x[s]) for x in c)
+            if key != last and held:
+                if sum(x.num_rows for x in held) > 1:
+                    yield Tile(pa.Table.from_batches(held))
+                held = []
+            last = key
+            held.append(b.slice(s, e - s))
+    if sum(x.num_rows for x in held) > 1:
+        yield Tile(pa.Table.from_batches(held))
+
+
+def _likely(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components that the sketches don't rule out: a forest of the likeliest ones,
+    which would join each tile's components if all were links. A row (bucket, null) says that a bucket may hold more."""
+    m = _open(members, roots)
+    facts = _facts(docs_of, m.select("node").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not t.num_rows:
-                return
-            c = [t.column(i).to_numpy() for i in range(7)]
-            raw = t.column(7).to_pylist()
-            new = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])) + 1
-            cuts = [0, *new.tolist(), t.num_rows]
-            a, b, again = [], [], set()
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e - s > 1:
-                    x, y, more = tile(int(c[1][s]), int(c[2][s]), c[3][s:e], c[4][s:e], c[5][s:e], Sketches(raw[s:e], c[6][s:e].astype(np.int64), num, den))
-                    a.append(np.maximum(x, y))
-                    b.append(np.minimum(x, y))
-                    if more:
-                        again.add(int(c[0][s]))
-            if again:
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(again), pa.int64()), pa.nulls(len(again), pa.int64())], ["a", "b"])
-            if a and sum(map(len, a)):
-                pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["a", "b"])
-
-        for x in batches:
-            if not x.num_rows:
-                continue
-            held.append(x)
-            t = pa.Table.from_batches(held)
-            c = [t.column(i).to_numpy() for i in range(3)]
-            same = (c[0] == c[0][-1]) & (c[1] == c[1][-1]) & (c[2] == c[2][-1])
-            cut = t.num_rows - int(same.sum())
-            yield from close(t.slice(0, cut))
-            held = t.slice(cut).combine_chunks().to_batches()
-        yield from close(pa.Table.from_batches(held) if held else pa.table({"x": []}))
+        for t in _tiles(batches):
+            both, label, a, b, more = Sketches(t.data.to_pylist(), t.size, num, den), t.root.copy(), [], [], False
+            for i, j in t.others():
+                j = j[t.root[j] != t.root[i]]
+                n, j = len(j), j[label[j] != label[i]]
+                more |= len(j) < n
+                if not len(j):
+                    continue
+                ok, bound = both.may(i, j)
+                j = j[ok]
+                if len(j):
+                    j = j[np.lexsort((-bound[ok], label[j]))]
+                    more |= len(j) > len(_runs(label[j]))
+                    j = j[_runs(label[j])]  # the likeliest of each component, which then counts as joined
+                    label[np.isin(label, label[j])] = label[i]
+                    a.append(np.full(len(j), t.node[i]))
+                    b.append(t.node[j])
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array([t.sig], pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
+            if a:
+                x, y = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+    return _tiled(m, facts, F.ceil(F.col("n") / TILE)).mapInArrow(run, "a long, b long").distinct()
+
+
+def _undecided(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, node, root, size) of the members that have somebody of another component in their bucket whom the sketches don't
+    rule out."""
+    m = _open(members, roots)
+    facts = _facts(docs_of, m.select("node").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _tiles(batches):
+            both, mark = Sketches(t.data.to_pylist(), t.size, num, den), np.zeros(len(t.node), bool)
+            for i, j in t.others():
+                j = j[t.root[j] != t.root[i]]
+                if len(j):
+                    j = j[both.may(i, j)[0]]
+                    mark[j] = True
+                    mark[i] |= len(j) > 0
+            if mark.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mark.sum()), t.sig)), *(pa.array(x[mark]) for x in (t.node, t.root, t.size))], ["sig", "node", "root", "size"])
+
+    return written(_tiled(m, facts, F.ceil(F.col("n") / TILE)).mapInArrow(run, "sig long, node long, root long, size long").distinct(), "near-undecided")
+
+
+def joining(t: Tile, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (a, b) that join all components of a tile that similar sets join; data: the sets."""
+    sets = [np.frombuffer(x, "<u8") for x in t.data.to_pylist()]
+    feature = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    member = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    cuts = np.cumsum([0, *(len(x) for x in sets)])
+    order = np.argsort(feature, kind="stable")
+    held = member[order]  # by feature
+    count = np.bincount(feature)
+    start = np.cumsum(count) - count
+    label, out = t.root.copy(), []
+    for i, j in t.others():
+        j = j[label[j] != label[i]]
+        if not len(j):
+            continue
+        f = feature[cuts[i] : cuts[i + 1]]
+        at = np.repeat(start[f] - (np.cumsum(count[f]) - count[f]), count[f])
+        both = np.bincount(held[at + np.arange(len(at))], minlength=len(sets))[j]
+        j = j[den * both >= num * (t.size[i] + t.size[j] - both)]
+        if len(j):
+            j = j[np.unique(label[j], return_index=True)[1]]
+            label[np.isin(label, label[j])] = label[i]
+            out += [(max(int(t.node[i]), int(x)), min(int(t.node[i]), int(x))) for x in t.node[j]]
+    return out
+
+
+def _rest(undecided: DataFrame, docs: DataFrame, docs_of: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The links (a, b) that join the components of undecided members, found among their whole sets."""
+    texts = _texts_of(docs, docs_of, undecided.select("node").distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            for a in range(0, b.num_rows, GROUP):
+                data = [shingles(hashes.of(x), words).astype("<u8").tobytes() for x in _texts(b.column(1).slice(a, GROUP))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, GROUP), pa.array(data, pa.binary())], ["node", "data"])
+        hashes.clear()
+        release()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _tiles(batches):
+            if found := joining(t, num, den):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        release()
 
-    return m.mapInArrow(run, "a long, b long").distinct()
+    whole_ = written(texts.mapInArrow(sets, "node long, data binary"), "near-sets")
+    many = undecided.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("features"))
+    m = undecided.join(many, "sig")
+    parts = F.ceil(F.greatest(F.col("n") / TILE, F.col("features") / FEATURES))
+    return written(_tiled(m.drop("size"), whole_.join(undecided.select("node", "size").distinct(), "node"), parts).mapInArrow(run, "a long, b long").distinct(), "near-joining")
 
 
 def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -393,15 +503,16 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     links = _verified(_possible(stars, documents, num, den), docs, documents, words, num, den)
     roots = components(links)
     members = written(got.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct(), "near-members")
-    tried = stars
-    for all_ in (False, True):
-        left = written(_left_over(members, documents, roots, num, den, all_), "near-left")
-        members = members.join(left.filter("b IS NULL").select(F.col("a").alias("sig")), "sig", "left_semi")
-        more = written(left.filter("b IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "near-more")
-        if not more.isEmpty():
-            links = links.unionByName(_verified(more, docs, documents, words, num, den))
-            roots = components(links)
-            tried = tried.unionByName(more)
+    left = written(_likely(members, documents, roots, num, den), "near-likely")
+    more = written(left.filter("b IS NOT NULL").join(stars, ["a", "b"], "left_anti"), "near-more")
+    if not more.isEmpty():
+        links = links.unionByName(_verified(more, docs, documents, words, num, den))
+        roots = components(links)
+    members = members.join(left.filter("b IS NULL").select(F.col("a").alias("sig")), "sig", "left_semi")
+    undecided = _undecided(members, documents, roots, num, den)
+    if not undecided.isEmpty():
+        links = links.unionByName(_rest(undecided, docs, documents, words, num, den))
+        roots = components(links)
     linked = small_join(documents.filter("size > 0").select("node", "doc_id", "size", "print"), roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = written(linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "near-names")
     out = small_join(linked, names, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"), "root", "print")
