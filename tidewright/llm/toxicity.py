@@ -34,11 +34,11 @@ SAMPLE = 8000
 #: The weight of a term is its idf times log2(2 + toxic examples / other examples) to this power: 1 or more for every term.
 RELEVANCE = 2
 NEIGHBOURS, THRESHOLD = 15, 0.7
-#: Queries, and characters of texts, at once.
-QUERIES, CHUNK = 256, 4_000_000
+#: Queries, characters of texts, and rows, at once.
+QUERIES, CHUNK, ROWS = 128, 3_000_000, 1024
 #: Blocks of examples, frequent terms by which they are told apart, rounds of that; a term is a column of a block's matrix where
 #: its shares of the block's and of all examples multiply to more than DENSE; more than single precision can be off.
-BLOCKS, APART, ROUNDS, DENSE, SLACK = 16, 512, 6, 0.0015, 2e-5
+BLOCKS, APART, ROUNDS, DENSE, SLACK = 16, 512, 6, 0.003, 2e-5
 #: Lengths of the word beginnings used beside the word.
 HEADS = (4, 5, 6)
 _TRIM = ".,;:!?\"'()[]{}<>«»“”„…*_-–—"
@@ -54,16 +54,26 @@ class Terms:
     """Ids of the terms of words, and counts of the terms of texts. Words are looked up as Arrow columns, each distinct one of some
     texts once; nothing is kept between texts."""
 
-    def __init__(self, vocabulary: list[str]):
+    def __init__(self, vocabulary: pa.Array):
         """vocabulary: terms in the order of their ids."""
-        ids = np.arange(len(vocabulary), dtype=np.int32)
-        head = np.array([len(t) - 1 if t[-1] == "*" else 0 for t in vocabulary], np.int32)
+        star, size = (f.to_numpy(zero_copy_only=False) for f in (pc.ends_with(vocabulary, "*"), pc.utf8_length(vocabulary)))
         self.sets = []
         for n in (*HEADS, 0):
-            own = np.flatnonzero(head == n)
-            self.sets.append((n, pa.array([vocabulary[i][:n] if n else vocabulary[i] for i in own], pa.string()), np.append(ids[own], np.int32(-1))))
+            own = np.flatnonzero(star & (size == n + 1) if n else ~star)
+            values = vocabulary.take(pa.array(own))
+            self.sets.append((n, pc.utf8_slice_codeunits(values, 0, n) if n else values, np.append(own, -1).astype(np.int32)))
         self.place = np.zeros(len(vocabulary), np.int32)
 
+    @staticmethod
+    def vocabulary(words: pa.Array) -> pa.Array:
+        """All terms of distinct words, in order."""
+        w = pc.unique(pc.utf8_trim(words, characters=_TRIM))
+        w = w.filter(pc.greater(pc.utf8_length(w), 0))
+        size = pc.utf8_length(w)
+        heads = [pc.binary_join_element_wise(pc.unique(pc.utf8_slice_codeunits(w.filter(pc.greater_equal(size, n)), 0, n)), "*", "") for n in HEADS]
+        terms = pa.concat_arrays([w, *heads])
+        return terms.take(pc.sort_indices(terms))
+
     def lookup(self, words: pa.Array) -> np.ndarray:
         """(words, beginnings and the word): ids of the terms, -1 for none."""
         w = pc.utf8_trim(words, characters=_TRIM)
@@ -103,8 +113,8 @@ class Terms:
 class Vocabulary:
     """The sample's terms, and a worker's lookup of them, which outlives its tasks."""
 
-    def __init__(self, terms: list[str]):
-        self.list = terms
+    def __init__(self, terms: pa.Array):
+        self.list: pa.Array | None = terms
         self._terms: Terms | None = None
 
     @property
@@ -112,7 +122,7 @@ class Vocabulary:
         claim("toxicity")
         if self._terms is None:
             self._terms = Terms(self.list)
-            self.list = []
+            self.list = None
         return self._terms
 
 
@@ -143,60 +153,67 @@ def sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 class BlockMaxIndex:
-    """Exact top-k by cosine over sparse non-negative vectors: {term: weight} or (terms, weights)."""
-
-    def __init__(self, term: np.ndarray, weight: np.ndarray, sizes: np.ndarray, terms: int):
-        """Unit vectors one after another, in the order of ids: terms, weights, and how many each has."""
-        self.n = n = len(sizes)
-        block = self.blocks(term, weight, np.repeat(np.arange(n, dtype=np.int32), sizes), n, terms)
+    """Exact top-k by cosine over sparse vectors. A vector's weight of a term is (1 + log n) * weight / length for n occurrences of
+    the term; occurrences are what is stored, so that an entry takes few bytes."""
+
+    def __init__(self, term: np.ndarray, count: np.ndarray, sizes: np.ndarray, weights: np.ndarray):
+        """Vectors one after another, in the order of ids: terms and occurrences, and how many terms each has (one at least).
+        weights: of all terms."""
+        self.n, terms, self.weights = len(sizes), len(weights), weights
+        n, starts = self.n, np.cumsum(sizes) - sizes
+        self.logs = 1 + np.log(np.maximum(np.arange(int(count.max(initial=0)) + 1), 1), dtype=float)
+        length = np.array([np.sqrt(np.sum((self.logs[count[a : a + k]] * weights[term[a : a + k]]) ** 2)) for a, k in zip(starts, sizes, strict=True)])
+        block = self.blocks(term, count, starts, sizes, length)
         self.order = np.argsort(block, kind="stable")  # place -> number of the vector
         self.where = np.empty(n, np.int64)
         self.where[self.order] = np.arange(n)
-        starts, sizes = (np.cumsum(sizes) - sizes)[self.order], sizes[self.order]
-        at = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
-        at += np.arange(len(at), dtype=np.int32)
-        term, weight = term[at].astype(np.int32), weight[at]  # in order of place
-        del at
-        doc, block = np.repeat(np.arange(n, dtype=np.int32), sizes), block[self.order]
+        block, self.length = block[self.order], length[self.order]
         self.cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if n else np.zeros(0, np.int64)
         self.ends = np.append(self.cuts[1:], n)[: len(self.cuts)]
-        entries = np.append(0, np.cumsum(sizes))[np.append(self.cuts, n)]  # of each block
         share = np.bincount(term, minlength=terms) / max(n, 1)
-        often = np.zeros(len(term), bool)  # entries of the matrices
-        columns = []
-        for b, (a, z) in enumerate(zip(self.cuts, self.ends, strict=True)):
-            own = slice(entries[b], entries[b + 1])
-            held = np.bincount(term[own], minlength=terms)
+        small = np.uint16 if n < 1 << 16 else np.int32
+        columns, self.matrices, self.most, exact, rest = [], [], [], [], []
+        for a, z in zip(self.cuts, self.ends, strict=True):  # one block's entries at a time
+            own = self.order[a:z]
+            k = sizes[own]
+            at = np.repeat(starts[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            t, c, d = term[at], count[at], np.repeat(np.arange(z - a), k)
+            held = np.bincount(t, minlength=terms)
             mine = (held > 1) & (held * share > DENSE * (z - a))
-            columns.append(np.flatnonzero(mine))
-            often[own] = mine[term[own]]
-        used = np.unique(np.concatenate([np.zeros(0, np.int64), *columns]))
-        self.place, self.used = np.full(terms, -1, np.int32), len(used)
-        self.place[used] = np.arange(len(used))
-        self.columns, self.matrices, self.most = [self.place[c] for c in columns], [], []
-        for b, (a, z) in enumerate(zip(self.cuts, self.ends, strict=True)):
-            at = np.full(terms, -1, np.int32)
-            at[columns[b]] = np.arange(len(columns[b]))
-            own = entries[b] + np.flatnonzero(often[entries[b] : entries[b + 1]])
-            m = np.zeros((len(columns[b]), z - a), np.float32)
-            m[at[term[own]], doc[own] - a] = weight[own]
+            columns.append(np.flatnonzero(mine).astype(np.int32))
+            often = mine[t]
+            place = np.cumsum(mine) - 1
+            m = np.zeros((len(columns[-1]), z - a), np.float32)
+            m[place[t[often]], d[often]] = self.logs[c[often]] * weights[t[often]] / self.length[a + d[often]]
             self.matrices.append(m)
             self.most.append(m.max(1, initial=0))
-        self.exact = np.searchsorted(doc[often], np.arange(n + 1)).tolist(), self.place[term[often]].astype(np.int64), weight[often]  # the matrices' entries by vector
-        rest = np.flatnonzero(~often)[np.argsort(term[~often], kind="stable")]
-        self.docs, self.weights, self.sizes = doc[rest].astype(np.uint16 if n < 1 << 16 else np.int32), weight[rest], np.bincount(term[rest], minlength=terms)
+            exact.append((np.bincount(d[often], minlength=z - a), t[often], c[often]))
+            rest.append((t[~often], (a + d[~often]).astype(small), c[~often]))
+        used = np.unique(np.concatenate([np.zeros(0, np.int32), *columns]))
+        self.place, self.used = np.full(terms, -1, np.int32), used
+        self.place[used] = np.arange(len(used))
+        self.columns = [self.place[c] for c in columns]
+        both = lambda parts, i, kind: np.concatenate([np.zeros(0, kind), *(x[i] for x in parts)])
+        self.exact = np.append(0, np.cumsum(both(exact, 0, np.int64))).tolist(), self.place[both(exact, 1, np.int32)].astype(np.uint16 if len(used) < 1 << 16 else np.int32), both(exact, 2, count.dtype)  # the matrices' entries by vector
+        del exact
+        t = both(rest, 0, np.int32)
+        self.sizes = np.bincount(t, minlength=terms)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        by = np.argsort(t, kind="stable")
+        del t
+        self.docs, self.counts = both(rest, 1, small)[by], both(rest, 2, count.dtype)[by]
 
-    @staticmethod
-    def blocks(term: np.ndarray, weight: np.ndarray, doc: np.ndarray, n: int, terms: int) -> np.ndarray:
+    def blocks(self, term: np.ndarray, count: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Each vector's block: those whose frequent terms are most alike, by a few rounds of spherical k-means."""
-        k = min(BLOCKS, n)
-        often = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:APART]
-        at = np.full(terms, -1, np.int64)
+        n, k = self.n, min(BLOCKS, self.n)
+        often = np.argsort(-np.bincount(term, minlength=len(self.weights)), kind="stable")[:APART]
+        at = np.full(len(self.weights), -1, np.int64)
         at[often] = np.arange(len(often))
         x = np.zeros((n, len(often)), np.float32)
-        some = at[term] >= 0
-        x[doc[some], at[term[some]]] = weight[some]
+        for i, (a, z) in enumerate(zip(starts, starts + sizes, strict=True)):
+            some = np.flatnonzero(at[term[a:z]] >= 0)
+            t = term[a:z][some]
+            x[i, at[t]] = self.logs[count[a:z][some]] * self.weights[t] / length[i]
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         centre, label = x[:: max(1, n // max(1, k))][:k], np.zeros(n, np.int64)
         for _ in range(ROUNDS if n else 0):
@@ -206,23 +223,25 @@ class BlockMaxIndex:
         return label
 
     @classmethod
-    def of(cls, vectors: list[dict[int, float]], terms: int) -> BlockMaxIndex:
-        term, weight = (np.concatenate([np.zeros(0, t), *(np.fromiter(v, t, len(v)) for v in x)]) for t, x in ((np.int32, vectors), (float, [v.values() for v in vectors])))
-        return cls(term, weight, np.array([len(v) for v in vectors], np.int64), terms)
+    def of(cls, vectors: list[dict[int, int]], weights: np.ndarray) -> BlockMaxIndex:
+        """vectors: occurrences by term."""
+        term, count = (np.concatenate([np.zeros(0, np.int32), *(np.fromiter(v, np.int32, len(v)) for v in x)]) for x in (vectors, [v.values() for v in vectors]))
+        return cls(term, count, np.array([len(v) for v in vectors], np.int64), weights)
 
     @staticmethod
     def pair(v) -> tuple[np.ndarray, np.ndarray]:
         return (np.array(list(v), np.int64), np.array(list(v.values()), float)) if isinstance(v, dict) else v
 
     def nearest(self, query, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, id) of the k best with a cosine above 0, best first; of equal ones the smaller ids."""
+        """(cosine, id) of the k best with a cosine above 0, best first; of equal ones the smaller ids. A query is a unit vector,
+        {term: weight} or (terms, weights)."""
         return self.nearest_of([query], k, [without])[0]
 
     def nearest_of(self, queries: list, k: int, without: list[int]) -> list[list[tuple[float, int]]]:
         pairs = [self.pair(q) for q in queries]
         if not self.n:
             return [[] for _ in pairs]
-        often, rest = np.zeros((len(pairs), self.used)), np.empty((len(pairs), self.n))
+        often, rest = np.zeros((len(pairs), len(self.used))), np.empty((len(pairs), self.n))
         for i, (t, w) in enumerate(pairs):
             at = self.place[t]
             often[i, at[at >= 0]] = w[at >= 0]
@@ -231,9 +250,10 @@ class BlockMaxIndex:
             t, w, size = t[held], w[held], size[held]
             at = np.repeat(self.starts[t] - (np.cumsum(size) - size), size)
             at += np.arange(len(at))
-            sums = self.weights.take(at, mode="clip")
-            sums *= np.repeat(w, size)
+            sums = self.logs.take(self.counts.take(at, mode="clip"), mode="clip")
+            sums *= np.repeat(w * self.weights[t], size)
             rest[i] = np.bincount(self.docs.take(at, mode="clip"), sums, self.n)
+        rest /= self.length
         scores, single = rest.astype(np.float32), often.astype(np.float32)
         bound = np.maximum.reduceat(scores, self.cuts, axis=1) + np.stack([single[:, c] @ m for c, m in zip(self.columns, self.most, strict=True)], 1)
         first, least = bound.argmax(1), np.zeros(len(pairs), np.float32)
@@ -249,7 +269,8 @@ class BlockMaxIndex:
         for i, x in enumerate(without):
             if x >= 0:
                 scores[i, self.where[x]] = 0
-        cuts, columns, weights = self.exact
+        cuts, columns, counts = self.exact
+        often *= self.weights[self.used]  # the matrices' weights, but for logs and lengths
         out = []
         for i, (s, low) in enumerate(zip(scores, least, strict=True)):
             hit = np.flatnonzero(s >= max(low - SLACK, 1e-30))  # the k best are among them
@@ -258,7 +279,7 @@ class BlockMaxIndex:
             mine, value = often[i], rest[i, hit]
             for x, j in enumerate(hit.tolist()):
                 own = slice(cuts[j], cuts[j + 1])
-                value[x] += mine.take(columns[own], mode="clip") @ weights[own]
+                value[x] += mine.take(columns[own], mode="clip") @ self.logs.take(counts[own], mode="clip") / self.length[j]
             value = np.round(value, 12)
             number = self.order[hit]
             top = np.lexsort((number, -value))[:k]
@@ -282,16 +303,15 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Neighbours:
     """The classifier but for its calibration: index and labels. examples: (doc_id, label, terms, occurrences)."""
 
-    def __init__(self, terms: int, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        self.terms = terms
-        pos, neg = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for _, y, t, _ in examples if y == v)]), minlength=terms) for v in (1, 0))
+    def __init__(self, idf: np.ndarray, ids: list[int], labels: list[int], sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray):
+        """Examples: ids, labels, how many terms each has; all their terms and occurrences one after another."""
+        y = np.repeat(np.array(labels, bool), sizes)
+        pos, neg = (np.bincount(terms[y == v], minlength=len(idf)) for v in (True, False))
         self.weights = idf * np.log2(2 + pos / np.maximum(1, neg)) ** RELEVANCE
-        blank = [y for _, y, t, _ in examples if not len(t)]  # no words at all
-        words = [e for e in examples if len(e[2])]
-        self.ids, self.labels = [e[0] for e in words], [e[1] for e in words]
-        self.cuts = np.cumsum([0, *(len(e[2]) for e in words)])
-        self.held = [np.concatenate([np.zeros(0, np.int32), *(e[i] for e in words)]) for i in (2, 3)]
-        labels = self.labels + blank
+        blank = [v for v, n in zip(labels, sizes, strict=True) if not n]  # no words at all
+        self.ids, self.labels = ([v for v, n in zip(x, sizes, strict=True) if n] for x in (ids, labels))
+        self.cuts = np.append(0, np.cumsum(sizes[sizes > 0]))
+        self.held = [terms, counts.astype(np.min_scalar_type(int(counts.max(initial=0))))]
         self.prior = (sum(labels) + 1) / (len(labels) + 2)
         self.blank = min((sum(blank) + self.prior) / (len(blank) + 1), self.prior)
         self._index: BlockMaxIndex | None = None
@@ -300,12 +320,8 @@ class Neighbours:
     def index(self) -> BlockMaxIndex:
         """Made where it is first used, once a worker; the driver never needs it."""
         if self._index is None:
-            terms, counts = self.held
-            w = (1 + np.log(counts)) * self.weights[terms]
-            sizes = np.diff(self.cuts)
-            w /= np.repeat(np.sqrt(np.add.reduceat(w * w, self.cuts[:-1])), sizes) if len(sizes) else 1
-            self._index = BlockMaxIndex(terms, w, sizes, self.terms)
-            del w
+            release()
+            self._index = BlockMaxIndex(*self.held, np.diff(self.cuts), self.weights)
             release()
         return self._index
 
@@ -313,7 +329,7 @@ class Neighbours:
         return self.vector(*(h[self.cuts[i] : self.cuts[i + 1]] for h in self.held))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.weights[terms]
+        w = (1 + np.log(counts, dtype=float)) * self.weights[terms]
         return terms, w / math.sqrt(w @ w) if len(w) else w
 
     def votes(self, vectors: list, without: list[int]) -> list[tuple[float, list[int]]]:
@@ -354,22 +370,32 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Fitted:
             for d, y, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 c = Counter((text.as_py() or "").lower().split())
                 names = sorted(c)
-                cols = [pa.array([d.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), pa.array([zlib.compress("\n".join(names).encode("utf-8", "surrogatepass"), 1)], pa.binary()), pa.array([np.array([c[t] for t in names], "<i4").tobytes()])]
+                data = ["\n".join(names).encode("utf-8", "surrogatepass"), np.array([c[t] for t in names], "<i4").tobytes()]
+                cols = [pa.array([d.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), *(pa.array([zlib.compress(x, 1)], pa.binary()) for x in data)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "words", "tfs"])
 
-    got = sorted(texts.mapInArrow(own, "doc_id long, toxic int, words binary, tfs binary").collect(), key=lambda r: r["doc_id"])  # at most ``most`` rows
-    words = [zlib.decompress(r["words"]).decode("utf-8", "surrogatepass").split("\n") for r in got]
-    vocabulary = sorted({t for w in {*chain.from_iterable(words)} for t in terms_of(w)})
-    shared = spark.sparkContext.broadcast(Vocabulary(vocabulary))  # bounded: the sample's terms
-    lookup, terms, examples = Terms(vocabulary), len(vocabulary), []
+    got = texts.mapInArrow(own, "doc_id long, toxic int, words binary, tfs binary").toArrow().sort_by("doc_id")  # at most ``most`` rows
+
+    def words_of(a: int) -> list[list[str]]:
+        return [[w for w in zlib.decompress(x.as_py()).decode("utf-8", "surrogatepass").split("\n") if w] for x in got["words"][a : a + QUERIES]]
+
+    distinct = pa.array([], pa.string())
+    for a in range(0, len(got), QUERIES):  # the examples' words are never all unpacked at once
+        distinct = pc.unique(pa.concat_arrays([distinct, pa.array([*chain.from_iterable(words_of(a))], pa.string())]))
+    vocabulary = Terms.vocabulary(distinct)
+    shared, terms, lookup = spark.sparkContext.broadcast(Vocabulary(vocabulary)), len(vocabulary), Terms(vocabulary)  # bounded: the sample's terms
+    sizes, held = [], []
     for a in range(0, len(got), QUERIES):
-        some = [[w for w in ws if w] for ws in words[a : a + QUERIES]]
+        some = words_of(a)
         flat = pc.dictionary_encode(pa.array([*chain.from_iterable(some)], pa.string()))
-        table, rows, at = lookup.lookup(flat.dictionary), flat.indices.to_numpy(), 0
-        for r, ws in zip(got[a : a + QUERIES], some, strict=True):
-            examples.append((r["doc_id"], r["toxic"], *lookup.of(table[rows[at : at + len(ws)]], np.frombuffer(r["tfs"], "<i4"))))
+        table, rows_, at = lookup.lookup(flat.dictionary), flat.indices.to_numpy(), 0
+        for ws, tfs in zip(some, got["tfs"][a : a + QUERIES], strict=True):
+            held.append(lookup.of(table[rows_[at : at + len(ws)]], np.frombuffer(zlib.decompress(tfs.as_py()), "<i4")))
+            sizes.append(len(held[-1][0]))
             at += len(ws)
-    del got, words, lookup, vocabulary
+    ids, given = got["doc_id"].to_pylist(), got["toxic"].to_pylist()
+    found, counts = (np.concatenate([np.zeros(0, np.int32), *(h[i] for h in held)]) for i in (0, 1))
+    del got, distinct, lookup, vocabulary, held
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = shared.value.terms, 0
@@ -386,9 +412,10 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Fitted:
     df, term, n = np.zeros(terms), sums["term"].to_numpy(), sums["df"].to_numpy()
     df[term[term >= 0]] = n[term >= 0]
     total = int(n[term < 0].sum())
-    model = Neighbours(terms, np.log((total + 1) / (df + 1)) + 1, examples)
+    model = Neighbours(np.log((total + 1) / (df + 1)) + 1, ids, given, np.array(sizes, np.int64), found, counts)
     fitted, labelled, prior = spark.sparkContext.broadcast(model), np.array(model.labels, float), model.prior  # bounded: the sample's vectors
-    del model, examples, sums
+    del model, sums, found, counts
+    release()
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
@@ -406,31 +433,36 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Fitted:
 
 
 def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
-    """All columns of ``docs`` and _score, _evidence (ids of the labelled neighbours)."""
+    """All columns of ``docs`` and _score, _evidence (ids of the labelled neighbours). The text is the column of that name, or
+    that field of the struct _all: it is sent once. Rows come back as they are done, not in the batches that they came in."""
     vocabulary, shared, ends, values = fitted
-    at = docs.columns.index("text")
+    inside = docs.schema["_all"].dataType.fieldNames().index("text") if docs.columns == ["_all"] else None
+    at = docs.columns.index("text") if inside is None else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, terms = shared.value, vocabulary.value.terms
         known: dict[bytes, tuple[float, list[int]]] = {}
-        for b in batches:
-            out: list[tuple[float, list[int]]] = []
-            for part in chunks(b.column(at)):
-                if len(known) > 100_000:
-                    known.clear()
-                keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in part]
-                new = [*{k: t for k, t in zip(keys, part, strict=True) if k not in known}.items()]
-                full = []
-                for (k, _), q in zip(new, terms.count([t for _, t in new]), strict=True):
-                    known[k] = (model.blank, [])
-                    if len(q[0]):
-                        full.append((k, q))
-                for a in range(0, len(full), QUERIES):
-                    some = full[a : a + QUERIES]
-                    known.update(zip([k for k, _ in some], model.score([q for _, q in some], ends, values), strict=True))
-                out += [known[k] for k in keys]
-            cols = [*b.columns, pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "_score", "_evidence"])
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                b = batch.slice(a, ROWS)
+                text = b.column(at) if inside is None else pc.struct_field(b.column(at), [inside])
+                out: list[tuple[float, list[int]]] = []
+                for part in chunks(text):
+                    if len(known) > 20_000:
+                        known.clear()
+                    keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in part]
+                    new = [*{k: t for k, t in zip(keys, part, strict=True) if k not in known}.items()]
+                    full = []
+                    for (k, _), q in zip(new, terms.count([t for _, t in new]), strict=True):
+                        known[k] = (model.blank, [])
+                        if len(q[0]):
+                            full.append((k, q))
+                    for x in range(0, len(full), QUERIES):
+                        some = full[x : x + QUERIES]
+                        known.update(zip([k for k, _ in some], model.score([q for _, q in some], ends, values), strict=True))
+                    out += [known[k] for k in keys]
+                cols = [*b.columns, pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "_score", "_evidence"])
 
     schema = StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_evidence", ArrayType(LongType()))])
     return docs.mapInArrow(run, schema)
@@ -448,4 +480,4 @@ def toxicity(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Dat
 
 def clean(documents: DataFrame, training: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
-    return scored(whole(documents, "text"), fit(training, labels, most)).filter(F.col("_score") < THRESHOLD).select("_all.*")
+    return scored(whole(documents), fit(training, labels, most)).filter(F.col("_score") < THRESHOLD).select("_all.*")
