@@ -165,6 +165,22 @@ def test_cached_answers_live_until_a_publish(spark, tmp_path):
     assert got(e.sow("t")) == [(2, "b")]
 
 
+def test_a_log_has_the_columns_of_all_batches(spark, tmp_path):
+    log, names = f"{tmp_path}/log", "_seq long, _op string, _ts timestamp, id long, v string"
+    e = Engine(spark)
+    e.register(TopicDef("t", ("id",), path=log, changelog=spark.createDataFrame([], names)))
+    e.delete("t", spark.createDataFrame([(9,)], "id int"))  # tombstones first, keys of another type
+    assert e.sow("t").dtypes == [("id", "bigint"), ("v", "string")] and got(e.sow("t")) == []
+    e.publish("t", spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"))
+    logs.append(logs.delete(spark.createDataFrame([(1,)], "id long"), ["id"], 2**40).coalesce(1), f"{tmp_path}/keys")
+    (part,) = (tmp_path / "keys").glob("*.parquet")
+    part.rename(tmp_path / "log" / "part-0.parquet")  # the first by name has keys only
+    e.register(TopicDef("t", ("id",), path=log))
+    assert got(e.sow("t")) == [(2, "b")]
+    logs.write_snapshot(spark.createDataFrame([], names), ["id"], f"{tmp_path}/snap")
+    assert got(logs.recover(spark, f"{tmp_path}/snap", log, ["id"])) == [(2, "b")]
+
+
 def test_recovery_is_the_state(spark, tmp_path):
     put = lambda rows: logs.append(spark.createDataFrame(rows, "_seq long, _op string, id string, px long").withColumn("_ts", F.lit(datetime(2024, 1, 1))), f"{tmp_path}/log")
     put([(0, "U", "A", 10), (1, "U", "A", 20), (2, "U", "B", 99), (3, "U", "C", 1)])

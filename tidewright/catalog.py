@@ -71,7 +71,7 @@ class Engine:
     def register(self, topic: TopicDef) -> TopicDef:
         name = plain_name(topic.name)
         if topic.path and topic.changelog is None:
-            topic = replace(topic, changelog=self.spark.read.parquet(topic.path))
+            topic = replace(topic, changelog=logs.read(self.spark, topic.path))
         self.topics[name] = topic
         if topic.data is not None or topic.changelog is not None:
             self.sow(name).createOrReplaceTempView(self.prefix + name)
@@ -151,14 +151,16 @@ class Engine:
         """Appends rows to the topic's log behind its last sequence number; its state is read anew afterwards."""
         t = self.topics[plain_name(topic)]
         last = t.changelog.agg(F.max("_seq")).first()[0] if t.changelog is not None else None
-        logs.append(logs.publish(rows, list(t.keys), -1 if last is None else last, op), t.path)
-        self.register(replace(t, changelog=None))
+        self._append(t, logs.publish(rows, list(t.keys), -1 if last is None else last, op))
 
     def delete(self, topic: str, keys: DataFrame) -> None:
         """Appends tombstones."""
         t = self.topics[plain_name(topic)]
         last = t.changelog.agg(F.max("_seq")).first()[0]
-        logs.append(logs.delete(keys, list(t.keys), last), t.path)
+        self._append(t, logs.delete(keys, list(t.keys), -1 if last is None else last))
+
+    def _append(self, t: TopicDef, batch: DataFrame) -> None:
+        logs.append(logs.aligned(batch, t.changelog) if t.changelog is not None else batch, t.path)
         self.register(replace(t, changelog=None))
 
     def select(self, topic: str, *, select: list[str] | None = None, where: str | None = None, order_by: list[tuple[str, bool]] | None = None, top_n: int | None = None, skip_n: int | None = None) -> DataFrame:

@@ -20,6 +20,18 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A log with the columns of all its batches: tombstones have keys only, partial publishes some columns."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def aligned(batch: DataFrame, log: DataFrame) -> DataFrame:
+    """A batch with the log's columns by their names and types, null where it has none, and its further ones behind them."""
+    own = {c.lower(): c for c in batch.columns}
+    known = [(F.col(f"`{own.pop(f.name.lower())}`") if f.name.lower() in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in log.schema]
+    return batch.select(*known, *[f"`{c}`" for c in own.values()])
+
+
 def publish(df: DataFrame, keys: list[str], last_seq: int, op: str = "U", order: list[str] | None = None) -> DataFrame:
     """Numbers a batch behind ``last_seq`` and refuses null keys. The numbers keep order within each partition and leave
     gaps between partitions: no global sort. With ``order`` the batch is range-sorted first."""
@@ -51,7 +63,7 @@ def recover(spark: SparkSession, snapshot: str, log: str, keys: list[str]) -> Da
     pruned by it. A key deleted behind the mark is gone; one deleted before it isn't in the snapshot."""
     snap = spark.read.parquet(snapshot)
     mark = snap.agg(F.max("_seq")).first()[0]
-    tail = spark.read.parquet(log).filter(F.col("_seq") > (-1 if mark is None else mark))
+    tail = read(spark, log).filter(F.col("_seq") > (-1 if mark is None else mark))
     return latest_by_key(snap.unionByName(tail, allowMissingColumns=True), keys)
 
 
