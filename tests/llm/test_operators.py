@@ -258,6 +258,21 @@ def test_lm_scores_of_a_frequent_bigram(spark):
     assert x["score"] == pytest.approx(want, abs=0.5 / ngram.STEPS * n)  # half a step of the codes
 
 
+def test_lm_scores_shuffle_no_tokens(spark):
+    r = np.random.default_rng(3)
+    texts = [(d, " ".join(f"w{x}" for x in r.zipf(1.2, 4000) % 50_000)) for d in range(100)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        all_ = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {all_.apply(i).stageId(): all_.apply(i).shuffleWriteBytes() for i in range(all_.size())}
+
+    before = stages()
+    assert len(ngram.scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(2)).collect()) == 100
+    sent = sum(v for k, v in stages().items() if k not in before)
+    assert sent < 11 * 400_000  # the texts' own shuffle included; 12.7 a token when blocks sent their tokens and each n-gram's P1
+
+
 def test_nearest_is_exact():
     r = np.random.default_rng(0)
     weights = r.random(40) * 5

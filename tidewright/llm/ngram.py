@@ -6,38 +6,44 @@ their hash, n-grams by the hash of the n-gram, so a frequent word fills no shard
 it a number, and n-grams are of these numbers, so only the 64-bit hashes of words can collide.
 
 The words' level of a shard has their hashes, their counts as running sums, and the quantised logarithm of their smoothed
-probability. The n-grams' levels have the contexts with the quantised logarithm of their back-off weight, monotone pointers into
-the successors, and the successors, made monotone by their context's place, with the quantised logarithm of P(w | v). Monotone
-sequences are Elias-Fano coded in 64-bit words; a shard's levels lie in one memory map and are never decoded: a query is a
-successor search for the context and, in its range, for the word, by select and rank in the packed words.
+probability. The n-grams' levels have the contexts with the quantised logarithm of their back-off weight mu / (c(v) + mu), monotone
+pointers into the successors, and the successors, made monotone by their context's place, with the quantised logarithm of their
+share c(v w) / (c(v) + mu): a block knows its words' P1 and their contexts' counts and interpolates itself, so P1 is not sent
+again with each n-gram, and shares, of which a context has few different ones, go back in few bytes. Monotone sequences are
+Elias-Fano coded in 64-bit words; a shard's levels lie in one memory map and are never decoded: a query is a successor search for
+the context and, in its range, for the word, by select and rank in the packed words.
 
 Corpus blocks ask and shards answer: a block sends a shard its own distinct words, then n-grams, with their training counts;
 the shard adds up all blocks' counts, builds its levels and answers every block in the order in which it asked, which the block
-finds again from its tokens. Texts are tokenised once; a block sends nothing to a shard of which it has nothing, so no more rows
-are sent than n-grams. No vocabulary or model is collected or broadcast, and what is gathered grows with the corpus.
+finds again from its tokens. Texts are tokenised once; the tokens lie in one file a block in the shared folder and are never
+shuffled. A block sends nothing to a shard of which it has nothing, so no more rows are sent than n-grams. No vocabulary or model
+is collected or broadcast, and what is gathered grows with the corpus.
 """
 
 from __future__ import annotations
 
 import mmap
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import written
+from tidewright.llm.common import remember, shared_dir, written
 from tidewright.llm.shingles import WordHashes, mix
 from tidewright.llm.worker import release
 
 #: Tokens of a block, about; training and other tokens of a shard, about; weight of the unigram model.
 BLOCK, SHARD, MU = 1_000_000, 4_000_000, 300.0
-#: Steps of a code in one power of ten; the code of what isn't there.
-STEPS, NONE = 2048, 65535
+#: Steps of a code in one power of ten; the code of what isn't there; parts of a step in which interpolated scores are summed, as
+#: whole numbers, so that their order doesn't matter.
+STEPS, NONE, FINE = 2048, 65535, 1 << 16
 END = np.uint64(0x454E44)  # never the hash of a word but by a chance of 2^-64
 #: Numbers that no word has: the start of a text, a word that is not in the training texts.
 START, UNKNOWN, FIRST = 0, 1, 2
@@ -236,18 +242,19 @@ def _unpacked(data: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 #: A block's payload: ids, known ids, training flags, sizes, tokens as numbers of its words, shards of its words.
 PAYLOAD = ["<i8", "u1", "u1", "<i8", "<u4", "<u4"]
-#: What a shard tells of words: numbers, counts, codes. What a block asks of n-grams: steps between the contexts' numbers, which
-#: ascend, words' numbers, training counts, the contexts' counts, the words' codes.
-TOLD, ASKED = ["<i8", "<i8", "<u2"], ["<i8", "<i8", "<i8", "<i8", "<u2"]
+#: What a shard tells of words: numbers, counts, codes. What a block asks of n-grams: of each context, by ascending numbers, the step
+#: from the one before, its n-grams and its count; of each n-gram the word's number and the training count.
+TOLD, ASKED = ["<i8", "<i8", "<u2"], ["<i8", "<i8", "<i8", "<i8", "<i8"]
 
 
 def _shard(x: np.ndarray, n: int) -> np.ndarray:
     return (mix(x) % np.uint64(n)).astype(np.int64)
 
 
-def _blocks(docs: DataFrame, shards: int) -> DataFrame:
-    """(block, words, counts, payload, trained, starts): the documents of a task in blocks, tokenised, the end of each the last of
-    its tokens; words by falling frequency, with their training counts."""
+def _blocks(docs: DataFrame, shards: int, folder: str) -> DataFrame:
+    """(block, words, counts, path, trained, starts): the documents of a task in blocks, tokenised, the end of each the last of
+    its tokens; words by falling frequency, with their training counts; the payload is a file in the folder. Files that a lost or
+    repeated task left are in no row."""
 
     def closed(name: int, ids: list, train: list[bool], docs: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(d) + 1 for d in docs], np.int64)
@@ -263,8 +270,13 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
         seen = np.repeat(np.array(train), sizes)
         counts = np.bincount(token[seen], minlength=len(words))
         payload = [np.array([i or 0 for i in ids]), np.array([i is not None for i in ids]), np.array(train), sizes, token, _shard(words, shards)]
-        cols = [([name], pa.int64()), ([words.astype("<u8").tobytes()], pa.binary()), ([squeezed(counts, "<u4")], pa.binary()), ([_packed([*zip(payload, PAYLOAD, strict=True)])], pa.binary()), ([int(seen.sum())], pa.int64()), ([sum(train)], pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["block", "words", "counts", "payload", "trained", "starts"])
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
+        path = f"{base}/{name}-{uuid.uuid4().hex[:8]}"
+        with store.open_output_stream(path, compression=None) as f:
+            f.write(_packed([*zip(payload, PAYLOAD, strict=True)]))
+        cols = [([name], pa.int64()), ([words.astype("<u8").tobytes()], pa.binary()), ([squeezed(counts, "<u4")], pa.binary()), ([path], pa.string()), ([int(seen.sum())], pa.int64()), ([sum(train)], pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["block", "words", "counts", "path", "trained", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, task, n = WordHashes(), TaskContext.get().partitionId(), 0
@@ -283,7 +295,7 @@ def _blocks(docs: DataFrame, shards: int) -> DataFrame:
         hashes.clear()
         release()
 
-    return docs.mapInArrow(run, "block long, words binary, counts binary, payload binary, trained long, starts long")
+    return docs.mapInArrow(run, "block long, words binary, counts binary, path string, trained long, starts long")
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -315,8 +327,7 @@ class Block:
         first, second = pair // len(shard), pair % len(shard)
         self.context, self.word = np.append(START, number)[first], number[second]
         self.total, self.one = np.append(starts, count)[first], one[second]
-        self.back = np.minimum(code(mu / (self.total + mu)).astype(np.int64) + self.one, NONE - 1)
-        self.shards = shards
+        self.shards, self.mu = shards, mu
 
     def questions(self) -> Iterator[tuple[int, np.ndarray]]:
         """(shard, n-grams) of the n-grams whose words are both known, by ascending numbers."""
@@ -328,17 +339,24 @@ class Block:
 
     def asked(self) -> list[tuple[int, bytes]]:
         seen = np.bincount(self.which, np.repeat(self.train, self.sizes), len(self.context)).astype(np.int64)
-        return [(s, _packed([*zip((np.diff(self.context[p], prepend=0), self.word[p], seen[p], self.total[p], self.one[p]), ASKED, strict=True)])) for s, p in self.questions()]
+        out = []
+        for s, p in self.questions():
+            first = np.flatnonzero(np.diff(self.context[p], prepend=-1))
+            each = np.diff(self.context[p][first], prepend=0), np.diff(np.append(first, len(p))), self.total[p][first], self.word[p], seen[p]
+            out.append((s, _packed([*zip(each, ASKED, strict=True)])))
+        return out
 
     def scored(self, answers: dict[int, bytes], tokens: int, normal: float) -> pd.DataFrame:
-        codes = self.back.copy()
+        share = np.zeros(len(self.word))
         for s, p in self.questions():
-            got = spread(answers[s], "<u2").astype(np.int64)
-            codes[p] = np.where(got == NONE, codes[p], got)
+            got = spread(answers[s], "<u2")
+            share[p] = np.where(got == NONE, 0, 10 ** value(got))
+        joint = np.log10(share + self.mu / (self.total + self.mu) * 10 ** value(self.one))
+        steps = np.rint(joint * (-STEPS * FINE)).astype(np.int64)
         ids = pd.array(self.ids, dtype="Int64")
         ids[self.known == 0] = pd.NA
         add = lambda x: np.add.reduceat(x, self.begin)
-        return pd.DataFrame({"doc_id": ids, "held_out": self.train == 0, "n_tokens": self.sizes, "n_known": add((self.count > 0).astype(np.int64)), "train_tokens": np.full(len(ids), tokens), "base_score": add(np.log10((self.count + 0.5) / normal)), "score": value(add(codes[self.which]))})
+        return pd.DataFrame({"doc_id": ids, "held_out": self.train == 0, "n_tokens": self.sizes, "n_known": add((self.count > 0).astype(np.int64)), "train_tokens": np.full(len(ids), tokens), "base_score": add(np.log10((self.count + 0.5) / normal)), "score": value(add(steps[self.which])) / FINE})
 
 
 def scores(docs: DataFrame, fold: int = 5, held: int = 1, mu: float = MU) -> DataFrame:
@@ -353,7 +371,8 @@ def scores(docs: DataFrame, fold: int = 5, held: int = 1, mu: float = MU) -> Dat
     rows = docs.select("doc_id", F.when(crc == held, 1).otherwise(0).alias("held"), "text")
     size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # tokens, about
     n = max(1, -(-size // SHARD), min(spark.sparkContext.defaultParallelism, size // 100_000))
-    blocks = written(_blocks(rows, n), "ngram-blocks")
+    folder = remember(f"{shared_dir(spark)}/ngram-payload-{uuid.uuid4().hex}")
+    blocks = written(_blocks(rows, n, folder), "ngram-blocks")
     tokens, starts = (int(x or 0) for x in blocks.agg(F.sum("trained"), F.sum("starts")).first())
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +402,9 @@ def scores(docs: DataFrame, fold: int = 5, held: int = 1, mu: float = MU) -> Dat
 
     def block_of(pdf: pd.DataFrame) -> Block:
         by = {k: dict(zip(x["shard"], x["data"], strict=True)) for k, x in pdf.groupby("kind")}
-        return Block(by[0][-1], by[1], n, starts, normal, offset, mu)
+        with fs.FileSystem.from_uri(folder)[0].open_input_stream(by[0][-1].decode(), compression=None) as f:
+            payload = f.readall()
+        return Block(payload, by[1], n, starts, normal, offset, mu)
 
     def ask_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         out = block_of(pdf).asked()
@@ -391,14 +412,13 @@ def scores(docs: DataFrame, fold: int = 5, held: int = 1, mu: float = MU) -> Dat
 
     def tell_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         asked = [_unpacked(x, ASKED) for x in pdf["data"]]
-        asked = [(np.cumsum(x[0]), *x[1:]) for x in asked]
-        context, word, seen, total, one = (np.concatenate([x[i] for x in asked]) for i in range(5))
+        asked = [(np.repeat(np.cumsum(x[0]), x[1]), x[3], x[4], np.repeat(x[2], x[1])) for x in asked]
+        context, word, seen, total = (np.concatenate([x[i] for x in asked]) for i in range(4))
         order = np.lexsort((word, context))
         cut = np.flatnonzero(np.append(True, (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])))
         joint = np.add.reduceat(seen[order], cut)
         some, joint = order[cut[joint > 0]], joint[joint > 0]
-        back = mu / (total[some] + mu)
-        trie = Trie(mapped(Trie.build(context[some], word[some], code(back), code(joint / (total[some] + mu) + back * 10 ** value(one[some])))))
+        trie = Trie(mapped(Trie.build(context[some], word[some], code(mu / (total[some] + mu)), code(joint / (total[some] + mu)))))
         return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "data": [squeezed(trie.find(x[0], x[1]), "<u2") for x in asked]})
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -406,7 +426,7 @@ def scores(docs: DataFrame, fold: int = 5, held: int = 1, mu: float = MU) -> Dat
         return block_of(pdf).scored(dict(zip(answers["shard"], answers["data"], strict=True)), tokens, normal)
 
     kind = lambda df, k: df.select("block", F.lit(k).alias("kind"), "shard", "data")
-    known = kind(blocks.select("block", F.lit(-1).alias("shard"), F.col("payload").alias("data")), 0).unionByName(kind(told.filter("block >= 0"), 1))
+    known = kind(blocks.select("block", F.lit(-1).alias("shard"), F.col("path").cast("binary").alias("data")), 0).unionByName(kind(told.filter("block >= 0"), 1))
     pairs = known.groupBy("block").applyInPandas(ask_pairs, "block long, shard int, data binary")
     answered = written(pairs.groupBy("shard").applyInPandas(tell_pairs, "block long, shard int, data binary"), "ngram-answers")
     return known.unionByName(kind(answered, 2)).groupBy("block").applyInPandas(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
