@@ -146,3 +146,23 @@ def test_large_buckets_are_passed_on(spark, monkeypatch):
         if r["kind"] == 2:
             by.setdefault(r["a"], set()).add(r["b"])
     assert {frozenset(v) for v in whole.values() if len(v) > 2} <= {frozenset(v) for v in by.values()}
+
+
+def test_a_bucket_is_looked_at_again_without_its_least_member(spark):
+    rows = spark.createDataFrame([(1, 10, None), (1, 20, None), (1, 30, None), (2, 10, None), (2, 20, None)], "key long, node long, extra binary")
+    got = partenum._gather(rows.coalesce(1).sortWithinPartitions("key", "node")).collect()
+    assert sorted({(r["b"], r["a"]) for r in got if r["kind"] == 1}) == [(10, 20), (10, 30)]
+    assert sorted(r["b"] for r in got if r["kind"] == 2 and r["extra"] is None) == [20, 30]  # 10 has met both
+
+
+def test_a_short_sketch_loses_no_similar_pair():
+    r = np.random.default_rng(5)
+    for n in (100, 700, 3000):
+        x = r.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[: n * 93 // 100], r.integers(0, 2**63, n * 5 // 100, dtype=np.uint64)])
+        z = r.integers(0, 2**63, n, dtype=np.uint64)
+        raw = [partenum.sketch(s) for s in (x, y, z)]
+        short = [partenum.narrow(s) for s in raw]
+        assert [len(s) for s in short] == [len(s) if len(s) <= 128 else max(128, len(s) // 4) for s in raw]
+        ok, bound = partenum.Sketches(short, np.array([len(x), len(y), len(z)]), 85, 100).may(0, np.array([1, 2]))
+        assert ok.tolist() == [True, False] and bound[0] >= n * 93 // 100

@@ -128,6 +128,16 @@ def sketch(s: np.ndarray) -> bytes:
     return (n[0::2] << 4 | n[1::2]).tobytes()
 
 
+def narrow(raw: bytes) -> bytes:
+    """A sketch folded to a quarter of its classes, at least 256: what tells most sets apart, for a first look."""
+    c = 2 * len(raw)
+    if c <= 256:
+        return raw
+    x = np.frombuffer(raw, np.uint8)
+    n = np.minimum(np.stack([x >> 4, x & 15], 1).reshape(-1, max(256, c // 4)).sum(0), 15).astype(np.uint8)
+    return (n[0::2] << 4 | n[1::2]).tobytes()
+
+
 class Sketches:
     """Sketches side by side, folded to the fewest classes among them. The intersection of two sets is at most the sum of
     the lesser counts of each class; a class that is full on both sides says nothing. A coarser fold is asked first."""
@@ -205,7 +215,8 @@ def _emit(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 def _gather(sorted_rows: DataFrame) -> DataFrame:
     """From rows sorted by (key, node): kind 0 documents (b node, extra), 1 stars (a node, b least node of its bucket),
-    2 members of buckets of three nodes or more (a a name of the bucket's members, b node): equal buckets count once."""
+    2 members of buckets of three nodes or more (a a name of the bucket's members, b node; the least, which its star compares
+    with all others, has an empty extra): equal buckets count once."""
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray, extra: pa.Array | None = None) -> pa.RecordBatch:
         extra = pa.nulls(len(a), pa.binary()) if extra is None else extra
@@ -226,14 +237,15 @@ def _gather(sorted_rows: DataFrame) -> DataFrame:
             yield rows(1, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
         if (many > 2).any():
             of = np.repeat(mix(np.add.reduceat(mix(node.view(np.uint64)), starts)).view(np.int64), sizes)
-            pair = np.unique(np.stack([of[many > 2], node[many > 2]], 1), axis=0)
-            yield rows(2, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
+            for some, extra in ((star, None), (~star, b"")):
+                pair = np.unique(np.stack([of[some & (many > 2)], node[some & (many > 2)]], 1), axis=0)
+                yield rows(2, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]), pa.array([extra] * len(pair), pa.binary()))
 
     def passed(key: int, least: int, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A part of a bucket too large to hold: it is named by its signature, and its rows are sorted, so the least is known."""
         node = node[np.concatenate([[True], node[1:] != node[:-1]])]
         yield rows(1, node[node != least], np.full(int((node != least).sum()), least))
-        yield rows(2, np.full(len(node), key), node)
+        yield rows(2, np.full(len(node), key), node, pa.array([b"" if x else None for x in node == least], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last bucket, which may go on
@@ -325,8 +337,15 @@ def _possible(pairs: DataFrame, docs_of: DataFrame, num: int, den: int) -> DataF
     return p.mapInArrow(run, "a long, b long")
 
 
-def _facts(docs_of: DataFrame, nodes: DataFrame) -> DataFrame:
-    return written(docs_of.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "size", F.col("sketch").alias("data")), "near-facts")
+def _facts(docs_of: DataFrame, nodes: DataFrame, short: bool = False) -> DataFrame:
+    """(node, size, data): sketches, or the short ones that tiles of all buckets repeat."""
+    facts = docs_of.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "size", F.col("sketch").alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([narrow(x.as_py()) for x in b.column(2)], pa.binary())], ["node", "size", "data"])
+
+    return written(facts.mapInArrow(run, "node long, size long, data binary") if short else facts, "near-facts")
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -381,10 +400,10 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[Tile]:
 
 
 def _likely(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that the sketches don't rule out: a forest of the likeliest ones,
+    """Pairs (a, b) of one bucket in different components that the short sketches don't rule out: a forest of the likeliest ones,
     which would join each tile's components if all were links. A row (bucket, null) says that a bucket may hold more."""
     m = _open(members, roots)
-    facts = _facts(docs_of, m.select("node").distinct())
+    facts = _facts(docs_of, m.select("node").distinct(), short=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _tiles(batches):
@@ -502,11 +521,11 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     stars = written(got.filter("kind = 1").select("a", "b").distinct(), "near-stars")
     links = _verified(_possible(stars, documents, num, den), docs, documents, words, num, den)
     roots = components(links)
-    members = written(got.filter("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct(), "near-members")
+    members = written(got.filter("kind = 2 AND extra IS NULL").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct(), "near-members")
     left = written(_likely(members, documents, roots, num, den), "near-likely")
     more = written(left.filter("b IS NOT NULL").join(stars, ["a", "b"], "left_anti"), "near-more")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, docs, documents, words, num, den))
+        links = links.unionByName(_verified(_possible(more, documents, num, den), docs, documents, words, num, den))
         roots = components(links)
     members = members.join(left.filter("b IS NULL").select(F.col("a").alias("sig")), "sig", "left_semi")
     undecided = _undecided(members, documents, roots, num, den)
