@@ -339,3 +339,24 @@ def test_toxicity_searches_all_terms_for_every_document(spark):
     for d in [5, 60, 120, 900]:
         cosine = lambda e: sum(w * vector[e].get(t, 0) for t, w in vector[d].items()) / norm(vector[d]) / norm(vector[e])
         assert out[d]["evidence"] == sorted(train, key=lambda e: (-round(cosine(e), 10), e))[:15]
+
+
+def test_toxicity_index_is_one_mapped_file(spark, tmp_path, monkeypatch):
+    """Workers map the index that one task made, instead of making and holding one each."""
+    rows = [(i, f"common w{i % 7} w{i % 11} {'insult' if i % 5 == 0 else 'praise'} x{i}") for i in range(300)]
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    _, path, ends, values = toxicity.fit(*frames)
+    model = toxicity.Neighbours.stored(path)
+    for a in (model.weights, *model.held, model.index.docs, model.index.counts, *model.index.exact[1:], *model.index.matrices):
+        assert not len(a) or not a.flags.owndata and not a.flags.writeable
+    fresh = toxicity.BlockMaxIndex(*model.held, np.diff(model.cuts), model.weights)
+    queries = [model.example(i) for i in range(len(model.ids))]
+    assert model.index.nearest_of(queries, 15, [-1] * len(queries)) == fresh.nearest_of(queries, 15, [-1] * len(queries))
+    empty = toxicity.Neighbours(np.zeros(0), [], [], np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+    folder = f"file://{tmp_path}/index"
+    again = toxicity.Neighbours.stored(empty.store(folder))
+    assert again.index.nearest({}, 15) == [] and again.blank == empty.blank
+    whole, near = toxicity.Neighbours.stored(model.store(folder)), model.votes(queries[:9], [-1] * 9)
+    assert whole.votes(queries[:9], [-1] * 9) == near
+    monkeypatch.setattr(toxicity.fs, "LocalFileSystem", type("NoStore", (), {}))  # as a store that cannot be mapped
+    assert toxicity.Neighbours.stored(path).votes(queries[:9], [-1] * 9) == near

@@ -6,12 +6,16 @@ example or document is left out. The index is inverted and cut into blocks of si
 hold a term, their weights are a row of the block's matrix, elsewhere postings. Postings are added first; a block's product is
 skipped where the block's greatest weights, with the postings' best sum in it, cannot reach the cosines already found. Neighbours
 vote with weights that fall with distance; the share of votes is calibrated by isotonic regression on the examples themselves,
-each left out of its own vote.
+each left out of its own vote. One task makes the index, a file in the shared folder; workers map it and hold no copy.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import shutil
+import tempfile
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -21,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyarrow import fs
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tidewright.llm.common import whole, written
+from tidewright.llm.common import remember, shared_dir, whole, written
 from tidewright.llm.worker import claim, release
 
 #: Labelled rows that the classifier is fitted on, at most (those of the smallest hashes); everything else covers all rows.
@@ -39,6 +44,8 @@ QUERIES, CHUNK, ROWS = 128, 3_000_000, 1024
 #: Blocks of examples, frequent terms by which they are told apart, rounds of that; a term is a column of a block's matrix where
 #: its shares of the block's and of all examples multiply to more than DENSE; more than single precision can be off.
 BLOCKS, APART, ROUNDS, DENSE, SLACK = 16, 512, 6, 0.003, 2e-5
+#: Bytes to which arrays in the stored classifier are aligned.
+ALIGN = 64
 #: Lengths of the word beginnings used beside the word.
 HEADS = (4, 5, 6)
 _TRIM = ".,;:!?\"'()[]{}<>«»“”„…*_-–—"
@@ -318,13 +325,46 @@ class Neighbours:
 
     @property
     def index(self) -> BlockMaxIndex:
-        """Made where it is first used, once a worker; the driver never needs it."""
+        """Made where it is first used, in the task that stores the classifier; the driver never needs it."""
         if self._index is None:
             release()
             self._index = BlockMaxIndex(*self.held, np.diff(self.cuts), self.weights)
             release()
         return self._index
 
+    def store(self, folder: str) -> str:
+        """Writes classifier and index as a file of the folder, arrays behind the rest, each from a multiple of ALIGN on; its path."""
+        arrays: list[pickle.PickleBuffer] = []
+        assert self.index
+        parts = [pickle.dumps(self, protocol=5, buffer_callback=arrays.append), *(a.raw() for a in arrays)]
+        sizes = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        name = uuid.uuid4().hex  # a task that runs twice writes two files
+        with store.open_output_stream(f"{base}/{name}", compression=None) as f:
+            for x in (sizes, *parts):
+                f.write(x)
+                f.write(bytes(-len(x) % ALIGN))
+        return f"{folder}/{name}"
+
+    @staticmethod
+    def stored(path: str) -> Neighbours:
+        """What store() wrote; its arrays are views of the mapped file, or of a copy if its store is not a local one."""
+        store, name = fs.FileSystem.from_uri(path)
+        if isinstance(store, fs.LocalFileSystem):
+            data = np.memmap(name, np.uint8, "r")
+        else:
+            with tempfile.TemporaryFile() as f:
+                with store.open_input_stream(name, compression=None) as source:
+                    shutil.copyfileobj(source, f, 1 << 20)
+                f.flush()
+                data = np.memmap(f, np.uint8, "r")
+        n = int(data[:8].view("<i8")[0])
+        sizes = data[8 : 8 * (n + 1)].view("<i8")
+        ends = np.cumsum(-(-np.append(8 * (n + 1), sizes) // ALIGN) * ALIGN)
+        head, *arrays = (data[a : a + k] for a, k in zip(ends.tolist(), sizes.tolist(), strict=False))
+        return pickle.loads(head, buffers=arrays)
+
     def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         return self.vector(*(h[self.cuts[i] : self.cuts[i + 1]] for h in self.held))
 
@@ -354,18 +394,31 @@ class Neighbours:
         return out
 
 
-Fitted = tuple[Broadcast, Broadcast, np.ndarray, np.ndarray]
+#: The classifier that this worker has mapped, by its path.
+_mapped: dict[str, Neighbours] = {}
+
+
+def mapped(path: str) -> Neighbours:
+    claim("toxicity", _mapped)
+    if path not in _mapped:
+        _mapped.clear()
+        _mapped[path] = Neighbours.stored(path)
+    return _mapped[path]
+
+
+Fitted = tuple[Broadcast, str, np.ndarray, np.ndarray]
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Fitted:
-    """Examples and all their terms from the sample, document frequencies from all documents: (vocabulary, classifier,
-    calibration). Of rows that repeat a labelled doc_id the one with the least text is the example."""
+    """Examples and all their terms from the sample, document frequencies from all documents: (vocabulary, path of the
+    classifier, calibration). Of rows that repeat a labelled doc_id the one with the least text is the example."""
     spark = documents.sparkSession
     rows = sample(labels, most)
     texts = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most ``most`` rows are broadcast
     texts = texts.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for b in batches:
             for d, y, text in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 c = Counter((text.as_py() or "").lower().split())
@@ -413,34 +466,44 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Fitted:
     df[term[term >= 0]] = n[term >= 0]
     total = int(n[term < 0].sum())
     model = Neighbours(np.log((total + 1) / (df + 1)) + 1, ids, given, np.array(sizes, np.int64), found, counts)
-    fitted, labelled, prior = spark.sparkContext.broadcast(model), np.array(model.labels, float), model.prior  # bounded: the sample's vectors
+    unmade, labelled, prior = spark.sparkContext.broadcast(model), np.array(model.labels, float), model.prior  # bounded: the sample's vectors
     del model, sums, found, counts
     release()
+    folder = remember(f"{shared_dir(spark)}/toxic-index-{uuid.uuid4().hex}")
 
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([unmade.value.store(folder)])], ["path"])
+        release()
+
+    path = spark.range(0, 1, 1, 1).mapInArrow(make, "path string").toArrow()["path"][0].as_py()
+    unmade.destroy()
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = mapped(path)
         for b in batches:
             ids = b.column(0).to_pylist()
             for a in range(0, len(ids), QUERIES):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + QUERIES], pa.int64()), pa.array(fitted.value.left_out(ids[a : a + QUERIES]), pa.float64())], ["id", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + QUERIES], pa.int64()), pa.array(model.left_out(ids[a : a + QUERIES]), pa.float64())], ["id", "raw"])
 
     if not len(labelled):
-        return shared, fitted, np.array([1.0]), np.array([prior])
+        return shared, path, np.array([1.0]), np.array([prior])
     got = spark.range(0, len(labelled), 1, 8).mapInArrow(votes, "id long, raw double").toArrow()  # at most ``most`` rows
     raw = np.empty(len(labelled))
     raw[got["id"].to_numpy()] = got["raw"].to_numpy()
-    return shared, fitted, *isotonic(raw, labelled)
+    return shared, path, *isotonic(raw, labelled)
 
 
 def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """All columns of ``docs`` and _score, _evidence (ids of the labelled neighbours). The text is the column of that name, or
     that field of the struct _all: it is sent once. Rows come back as they are done, not in the batches that they came in."""
-    vocabulary, shared, ends, values = fitted
+    vocabulary, path, ends, values = fitted
     inside = docs.schema["_all"].dataType.fieldNames().index("text") if docs.columns == ["_all"] else None
     at = docs.columns.index("text") if inside is None else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, terms = shared.value, vocabulary.value.terms
+        terms, model = vocabulary.value.terms, mapped(path)
         known: dict[bytes, tuple[float, list[int]]] = {}
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
