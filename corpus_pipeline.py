@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import exact, mixing, packing, partenum, toxicity
-from tidewright.llm.common import read, scratch, sweep, written
+from tidewright.llm.common import read, scratch, sweep, trim, written
 
 #: Tables that the last stage wrote on the way; its result has been written when the next stage begins.
 _used: list[str] = []
@@ -22,6 +22,7 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[S
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         sweep(spark, _used)
+        trim(spark)
         with scratch() as paths:
             out = f(spark, docs, sf_dir)
         _used.extend(paths)

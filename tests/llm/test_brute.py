@@ -274,3 +274,13 @@ def test_pipeline_stage_by_stage(spark, documents, toxic, encode, monkeypatch):
     before, _, rows, _ = results["packing"]
     assert sorted(map(tuple, rows)) == sorted(map(tuple, last))
     packed_right(rows, Counter(ids(before)), {d: encode(t) for d, t in documents.items()})
+
+
+def test_pipeline_stages_begin_with_small_heaps(spark):
+    """The garbage of a stage has been collected when the next one begins."""
+    import corpus_pipeline
+
+    full = lambda: max(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before, seen = full(), []
+    corpus_pipeline.stage(lambda *_: seen.append(full()))(spark, None, "")
+    assert seen[0] > before

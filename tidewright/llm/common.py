@@ -50,6 +50,13 @@ def sweep(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trim(spark: SparkSession) -> None:
+    """Executors' JVMs collect their garbage and give the heap that they don't need back to the system: a heap that one step has
+    grown stays otherwise, beside the Python workers of the next. A task for every core, so that none is likely left out."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()  # as many rows as cores
+
+
 def remember(path: str) -> str:
     """A path that an open scratch() will list."""
     if _open:
