@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tidewright.llm import partenum
+from tidewright.llm import components, partenum
 from tidewright.llm.partenum import Bands, signatures
 from tidewright.llm.shingles import WordHashes, shingles
 
@@ -166,3 +166,27 @@ def test_a_short_sketch_loses_no_similar_pair():
         assert [len(s) for s in short] == [len(s) if len(s) <= 128 else max(128, len(s) // 4) for s in raw]
         ok, bound = partenum.Sketches(short, np.array([len(x), len(y), len(z)]), 85, 100).may(0, np.array([1, 2]))
         assert ok.tolist() == [True, False] and bound[0] >= n * 93 // 100
+
+
+def test_few_edges_make_components_at_once(spark, monkeypatch):
+    r = random.Random(2)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(x, x - 1) for x in range(-50, 0)] + [(2**62, -(2**63)), (7, 7)]
+    df, made = spark.createDataFrame(edges, "a long, b long"), []
+    original = components.written
+    monkeypatch.setattr(components, "written", lambda frame, name: made.append(name) or original(frame, name))
+    few = {tuple(x) for x in components.components(df).collect()}
+    assert made == ["cc", "cc-roots"]
+    monkeypatch.setattr(components, "FEW", 3)
+    assert few == {tuple(x) for x in components.components(df).collect()} and len(made) > 4
+    assert {(2**62, -(2**63)), (-1, -51)} <= few and components.components(df.filter("a = b")).count() == 0
+
+
+def test_sketches_meet_their_nodes_without_a_shuffle(spark):
+    texts = [(d, f"{'a b c d e f g h ' * 9}{d // 3}") for d in range(60)] + [(60, None), (None, "x y z"), (None, "x y z")]
+    rows = partenum._emit(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), 4, 85, 100)
+    got = partenum._gather(rows.repartition(6, "key").sortWithinPartitions("key", "node")).cache()
+    facts = partenum._facts(got, 6)
+    assert got.filter("kind = 0").count() == len(texts) and facts.count() == facts.select("node").distinct().count() == 21
+    joined = facts.join(facts.select("node").distinct().hint("merge"), "node")
+    joined.collect()
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()

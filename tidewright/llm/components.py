@@ -1,13 +1,44 @@
-"""Connected components by alternating large-star and small-star steps, each written to the shared folder."""
+"""Connected components by alternating large-star and small-star steps, each written to the shared folder; of few edges in one
+task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import written
 
 
+#: Edges, counted, that one task takes at most.
+FEW = 200_000
+
+
+def least_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node of each one's component) of the edges (a, b)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _at_once(edges: DataFrame) -> DataFrame:
+    """(node, root) of written edges (u, v), by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((2, 0), np.int64), *(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_of(*np.concatenate(held, axis=1))], ["node", "root"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def _with_min(pairs: DataFrame) -> DataFrame:
     """(u, v, m): m is the least of u and its neighbours. The least is aggregated before the shuffle; the join back is one
     whose hot keys adaptive execution splits."""
@@ -18,6 +49,8 @@ def _with_min(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node of its component."""
     e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    if e.count() <= FEW:
+        return written(_at_once(e), "cc-roots")
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -24,10 +24,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import small_join, whole, written
+from tidewright.llm.common import bucketed, small_join, whole, written
 from tidewright.llm.components import components
 from tidewright.llm.shingles import WordHashes, identity, mix, shingles
 from tidewright.llm.worker import release
@@ -40,6 +41,8 @@ TILE, FEATURES = 1024, 2_000_000
 HELD = 1_000_000
 #: Documents handled together.
 GROUP = 256
+#: Bytes of a document's row: whether it has a doc_id, doc_id, size, fingerprint; what follows is its sketch.
+FACTS = 32
 
 
 class Bands:
@@ -179,8 +182,8 @@ def _print() -> Column:
 
 
 def _emit(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Rows of one shuffle: (key = signature, node), and one a document with extra = (doc_id or null, size, fingerprint,
-    sketch)."""
+    """Rows of one shuffle: (key = signature, node), and one a document with extra = (doc_id or null, size, fingerprint). The
+    first of equal sets in a task also has the sketch there, and its key is the node; copies are dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, done = WordHashes(), Bands(num, den), set()
@@ -191,7 +194,7 @@ def _emit(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 names = [identity(s) for s in sets]
                 extra = []
                 for doc_id, print_, s in zip(ids.slice(a, GROUP).to_pylist(), b.column(2).slice(a, GROUP).to_pylist(), sets, strict=True):
-                    extra.append(np.array([0 if doc_id is None else 1, doc_id or 0, len(s), print_], ">i8").tobytes() + sketch(s))
+                    extra.append(np.array([0 if doc_id is None else 1, doc_id or 0, len(s), print_], ">i8").tobytes())
                 if len(done) > 1_000_000:
                     done.clear()
                 fresh: list[int] = []
@@ -199,8 +202,10 @@ def _emit(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     if len(s) and n not in done:  # copies in one task give their signatures once
                         done.add(n)
                         fresh.append(i)
+                        extra[i] += sketch(s)
                 node = np.array(names, np.int64)
                 spread = mix(node.view(np.uint64) + np.arange(a, a + len(node), dtype=np.uint64)).view(np.int64)
+                spread[fresh] = node[fresh]
                 yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(node), pa.array(extra, pa.binary())], ["key", "node", "extra"])
                 if fresh:
                     sig, who = signatures(np.concatenate([sets[i] for i in fresh]), np.array([len(sets[i]) for i in fresh]), bands)
@@ -214,7 +219,8 @@ def _emit(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def _gather(sorted_rows: DataFrame) -> DataFrame:
-    """From rows sorted by (key, node): kind 0 documents (b node, extra), 1 stars (a node, b least node of its bucket),
+    """From rows sorted by (key, node): kind 0 documents (b node, extra), 3 nodes (the same of one of its documents, and the
+    sketch), 1 stars (a node, b least node of its bucket),
     2 members of buckets of three nodes or more (a a name of the bucket's members, b node; the least, which its star compares
     with all others, has an empty extra): equal buckets count once."""
 
@@ -250,12 +256,21 @@ def _gather(sorted_rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last bucket, which may go on
         size, large = 0, None  # large: (key, least) of a bucket that is passed on
+        last: np.ndarray = np.zeros(0, np.int64)  # the last node whose sketch has been seen
         for b in batches:
             extra = b.column(2)
             doc = np.asarray(extra.is_valid())
             k, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             if doc.any():
-                yield rows(0, k[doc], n[doc], extra.filter(pa.array(doc)))
+                of, what = n[doc], extra.filter(pa.array(doc))
+                yield rows(0, k[doc], of, pc.binary_slice(what, 0, FACTS))
+                full = pc.greater(pc.binary_length(what), FACTS)
+                of, what = of[np.asarray(full)], what.filter(full)
+                before = np.concatenate([last, of])[-len(of) - 1 : -1] if len(of) else of
+                new = np.concatenate([np.ones(len(of) - len(before), bool), of[len(of) - len(before) :] != before])
+                if new.any():  # one row a node; its copies come from other tasks and have its key
+                    yield rows(3, of[new], of[new], what.filter(pa.array(new)))
+                last = of[-1:] if len(of) else last
             k, n = k[~doc], n[~doc]
             if large and len(k):
                 more = int(np.searchsorted(k, large[0], side="right"))
@@ -281,21 +296,20 @@ def _gather(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, "kind int, a long, b long, extra binary")
 
 
-def _texts_of(docs: DataFrame, docs_of: DataFrame, nodes: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) for the given nodes: one document each is read again. Only its id and fingerprint are broadcast, up to
     a bound; the texts of other documents are never shuffled below it."""
-    one = docs_of.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), "print")).alias("w"))
-    want = written(one.select("node", F.col("w.i").alias("_id"), F.col("w.print").alias("print")), "near-want")
+    want = written(facts.join(nodes, "node", "left_semi").select("node", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "print"), "near-want")
     d = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), _print(), "text")
     got = written(small_join(d, want, ["_id", "print"], rows=200_000).select("node", "text"), "near-texts")
     return got if got.count() == want.count() else got.dropDuplicates(["node"])  # rows that repeat an id and its text
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, docs_of: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, facts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: den * intersection >= num * union."""
     pairs = written(pairs, "near-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = _texts_of(docs, docs_of, nodes)
+    texts = _texts_of(docs, facts, nodes)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,10 +335,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, docs_of: DataFrame, words: int,
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
 
 
-def _possible(pairs: DataFrame, docs_of: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches don't rule out."""
-    facts = _facts(docs_of, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    a, b = (facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns]) for s in "ab")
+def _possible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches don't rule out. A node is the a of as many pairs as it has signatures, but may be
+    the b of any number: the facts of those are a table of their own, whose join's hot keys adaptive execution splits."""
+    some = facts.select("node", "size", F.col("sketch").alias("data"))
+    centres = written(some.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "near-facts")
+    a, b = (x.select(*[F.col(c).alias(f"{c}_{s}") for c in x.columns]) for x, s in ((some, "a"), (centres, "b")))
     p = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).select("a", "b", "size_a", "size_b", "data_a", "data_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,15 +353,23 @@ def _possible(pairs: DataFrame, docs_of: DataFrame, num: int, den: int) -> DataF
     return p.mapInArrow(run, "a long, b long")
 
 
-def _facts(docs_of: DataFrame, nodes: DataFrame, short: bool = False) -> DataFrame:
-    """(node, size, data): sketches, or the short ones that tiles of all buckets repeat."""
-    facts = docs_of.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "size", F.col("sketch").alias("data"))
+def _facts(rows: DataFrame, n: int) -> DataFrame:
+    """(node, doc_id, size, print, sketch, short) of the rows of kind 3, in buckets by node, so that no sketch is shuffled again
+    to meet its node; short: the sketch for a first look, which tiles of all buckets repeat."""
+    facts = rows.filter("kind = 3").select(F.col("b").alias("node"), *_numbers(), F.expr(f"substring(extra, {FACTS + 1})").alias("sketch"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([narrow(x.as_py()) for x in b.column(2)], pa.binary())], ["node", "size", "data"])
+            short = pa.array([narrow(x.as_py()) for x in b.column(4)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, short], [*b.schema.names, "short"])
 
-    return written(facts.mapInArrow(run, "node long, size long, data binary") if short else facts, "near-facts")
+    return bucketed(facts.mapInArrow(run, "node long, doc_id long, size long, print long, sketch binary, short binary"), "near-facts", "node", n)
+
+
+def _numbers() -> list[Column]:
+    """doc_id, size and fingerprint from a document's row."""
+    number = lambda at: F.conv(F.hex(F.substring("extra", at, 8)), 16, -10).cast("long")
+    return [F.when(number(1) == 1, number(9)).alias("doc_id"), number(17).alias("size"), number(25).alias("print")]
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -399,11 +423,10 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[Tile]:
         yield Tile(pa.Table.from_batches(held))
 
 
-def _likely(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def _likely(members: DataFrame, facts: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of one bucket in different components that the short sketches don't rule out: a forest of the likeliest ones,
     which would join each tile's components if all were links. A row (bucket, null) says that a bucket may hold more."""
     m = _open(members, roots)
-    facts = _facts(docs_of, m.select("node").distinct(), short=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _tiles(batches):
@@ -429,14 +452,13 @@ def _likely(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: int,
                 x, y = np.concatenate(a), np.concatenate(b)
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
-    return _tiled(m, facts, F.ceil(F.col("n") / TILE)).mapInArrow(run, "a long, b long").distinct()
+    return _tiled(m, facts.select("node", "size", F.col("short").alias("data")), F.ceil(F.col("n") / TILE)).mapInArrow(run, "a long, b long").distinct()
 
 
-def _undecided(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def _undecided(members: DataFrame, facts: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """(sig, node, root, size) of the members that have somebody of another component in their bucket whom the sketches don't
     rule out."""
     m = _open(members, roots)
-    facts = _facts(docs_of, m.select("node").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _tiles(batches):
@@ -450,7 +472,7 @@ def _undecided(members: DataFrame, docs_of: DataFrame, roots: DataFrame, num: in
             if mark.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mark.sum()), t.sig)), *(pa.array(x[mark]) for x in (t.node, t.root, t.size))], ["sig", "node", "root", "size"])
 
-    return written(_tiled(m, facts, F.ceil(F.col("n") / TILE)).mapInArrow(run, "sig long, node long, root long, size long").distinct(), "near-undecided")
+    return written(_tiled(m, facts.select("node", "size", F.col("sketch").alias("data")), F.ceil(F.col("n") / TILE)).mapInArrow(run, "sig long, node long, root long, size long").distinct(), "near-undecided")
 
 
 def joining(t: Tile, num: int, den: int) -> list[tuple[int, int]]:
@@ -479,9 +501,9 @@ def joining(t: Tile, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def _rest(undecided: DataFrame, docs: DataFrame, docs_of: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _rest(undecided: DataFrame, docs: DataFrame, facts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The links (a, b) that join the components of undecided members, found among their whole sets."""
-    texts = _texts_of(docs, docs_of, undecided.select("node").distinct())
+    texts = _texts_of(docs, facts, undecided.select("node").distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -515,22 +537,21 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     rows = _emit(docs, words, num, den)
     n = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     got = written(_gather(rows.repartition(n, "key").sortWithinPartitions("key", "node")), "near-rows")
-    number = lambda at: F.conv(F.hex(F.substring("extra", at, 8)), 16, -10).cast("long")
-    documents = got.filter("kind = 0").select(F.col("b").alias("node"), F.when(number(1) == 1, number(9)).alias("doc_id"), number(17).alias("size"), number(25).alias("print"), F.expr("substring(extra, 33)").alias("sketch"))
-    documents = written(documents, "near-docs")
+    documents = written(got.filter("kind = 0").select(F.col("b").alias("node"), *_numbers()), "near-docs")
+    facts = _facts(got, n)
     stars = written(got.filter("kind = 1").select("a", "b").distinct(), "near-stars")
-    links = _verified(_possible(stars, documents, num, den), docs, documents, words, num, den)
+    links = _verified(_possible(stars, facts, num, den), docs, facts, words, num, den)
     roots = components(links)
     members = written(got.filter("kind = 2 AND extra IS NULL").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct(), "near-members")
-    left = written(_likely(members, documents, roots, num, den), "near-likely")
+    left = written(_likely(members, facts, roots, num, den), "near-likely")
     more = written(left.filter("b IS NOT NULL").join(stars, ["a", "b"], "left_anti"), "near-more")
     if not more.isEmpty():
-        links = links.unionByName(_verified(_possible(more, documents, num, den), docs, documents, words, num, den))
+        links = links.unionByName(_verified(_possible(more, facts, num, den), docs, facts, words, num, den))
         roots = components(links)
     members = members.join(left.filter("b IS NULL").select(F.col("a").alias("sig")), "sig", "left_semi")
-    undecided = _undecided(members, documents, roots, num, den)
+    undecided = _undecided(members, facts, roots, num, den)
     if not undecided.isEmpty():
-        links = links.unionByName(_rest(undecided, docs, documents, words, num, den))
+        links = links.unionByName(_rest(undecided, docs, facts, words, num, den))
         roots = components(links)
     linked = small_join(documents.filter("size > 0").select("node", "doc_id", "size", "print"), roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = written(linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "near-names")
