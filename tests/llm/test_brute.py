@@ -4,12 +4,14 @@ import base64
 import hashlib
 import html as entities
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_near import brute as brute_near
 from test_operators import brute_scores
@@ -284,3 +286,18 @@ def test_pipeline_stages_begin_with_small_heaps(spark):
     before, seen = full(), []
     corpus_pipeline.stage(lambda *_: seen.append(full()))(spark, None, "")
     assert seen[0] > before
+
+
+def test_words_of_many_parts_are_looked_up_together(monkeypatch):
+    r = random.Random(8)
+    texts = ["", " a b ", "Idiot idiots idiotic", *(" ".join(f"word{r.randrange(60)}" for _ in range(r.randrange(30))) for _ in range(90))]
+    terms, calls = toxicity.Terms(toxicity.Terms.vocabulary(pa.array([f"word{i}" for i in range(40)] + ["idiot", "a"]))), []
+    lookup = terms.lookup
+    monkeypatch.setattr(terms, "lookup", lambda words: calls.append(len(words)) or lookup(words))
+    parts = [texts[i : i + 7] for i in range(0, len(texts), 7)]
+    got = [dict(zip(*(x.tolist() for x in q), strict=True)) for q in terms.count(parts)]
+    assert len(calls) == 1 and len(got) == len(texts)
+    monkeypatch.setattr(toxicity, "WIDE", 1)
+    assert got == [dict(zip(*(x.tolist() for x in q), strict=True)) for q in terms.count(parts)] and len(calls) == 1 + len(parts)
+    ids = {t.as_py(): i for i, t in enumerate(toxicity.Terms.vocabulary(pa.array([f"word{i}" for i in range(40)] + ["idiot", "a"])))}
+    assert got == [dict(Counter(ids[t] for w in x.lower().split() for t in toxicity.terms_of(w) if t in ids)) for x in texts]

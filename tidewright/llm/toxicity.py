@@ -39,8 +39,9 @@ SAMPLE = 8000
 #: The weight of a term is its idf times log2(2 + toxic examples / other examples) to this power: 1 or more for every term.
 RELEVANCE = 2
 NEIGHBOURS, THRESHOLD = 15, 0.7
-#: Queries, characters of texts, and rows, at once.
+#: Queries, characters of texts, and rows, at once; characters whose words are looked up together, and rows that come back together.
 QUERIES, CHUNK, ROWS = 128, 3_000_000, 1024
+WIDE, SLICE = 10 * CHUNK, 8 * ROWS
 #: Blocks of examples, frequent terms by which they are told apart, rounds of that; a term is a column of a block's matrix where
 #: its shares of the block's and of all examples multiply to more than DENSE; more than single precision can be off.
 BLOCKS, APART, ROUNDS, DENSE, SLACK = 16, 512, 6, 0.003, 2e-5
@@ -58,8 +59,8 @@ def terms_of(word: str) -> list[str]:
 
 
 class Terms:
-    """Ids of the terms of words, and counts of the terms of texts. Words are looked up as Arrow columns, each distinct one of some
-    texts once; nothing is kept between texts."""
+    """Ids of the terms of words, and counts of the terms of texts. Words are looked up as Arrow columns, each distinct one of many
+    texts once, as every lookup hashes the whole vocabulary anew; nothing is kept between lookups."""
 
     def __init__(self, vocabulary: pa.Array):
         """vocabulary: terms in the order of their ids."""
@@ -105,16 +106,34 @@ class Terms:
         keep = np.flatnonzero(last == at)
         return ids[keep], np.bincount(last, n, len(ids))[keep].astype(np.int32)
 
-    def count(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(terms, occurrences) of each text."""
-        words = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
-        cuts = words.offsets.to_numpy()
-        flat = pc.dictionary_encode(words.values)
-        table, rows = self.lookup(flat.dictionary.cast(pa.string())), flat.indices.to_numpy()
+    def count(self, parts: Iterable[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(terms, occurrences) of each text. Texts are split a part at a time; only numbers and distinct words are held of it until
+        the words of WIDE characters are looked up."""
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        size = 0
+        for texts in parts:
+            words = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+            flat = pc.dictionary_encode(words.values)
+            held.append((words.offsets.to_numpy(), flat.indices.to_numpy(), flat.dictionary))
+            size += sum(map(len, texts))
+            del words, flat
+            if size >= WIDE:
+                yield from self._counted(held)
+                held, size = [], 0
+        if held:
+            yield from self._counted(held)
+
+    def _counted(self, held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """From parts of texts: where each text's words begin, all words' numbers, and the part's distinct words by number."""
+        flat = pc.dictionary_encode(pa.concat_arrays([d for _, _, d in held]))
+        table, rows, at = self.lookup(flat.dictionary.cast(pa.string())), flat.indices.to_numpy(), 0
         blank = pc.equal(flat.dictionary, "").to_numpy(zero_copy_only=False)  # the ends of a text that begins or ends with space
         table[blank] = -1
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            yield self.of(table[rows[a:z]])
+        for cuts, numbers, distinct in held:
+            own = rows[at : at + len(distinct)]
+            at += len(distinct)
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                yield self.of(table[own[numbers[a:z]]])
 
 
 class Vocabulary:
@@ -455,9 +474,8 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Fitted:
         seen = np.zeros(terms, np.int64)
         for b in batches:
             n += b.num_rows
-            for part in chunks(b.column(0)):
-                for ids, _ in words.count(part):
-                    seen[ids] += 1
+            for ids, _ in words.count(chunks(b.column(0))):
+                seen[ids] += 1
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, found)), pa.array(np.append(n, seen[found]))], ["term", "df"])
 
@@ -505,27 +523,44 @@ def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, model = vocabulary.value.terms, mapped(path)
         known: dict[bytes, tuple[float, list[int]]] = {}
+
+        def score(full: list[tuple[bytes, tuple[np.ndarray, np.ndarray]]]) -> None:
+            if full:
+                known.update(zip([k for k, _ in full], model.score([q for _, q in full], ends, values), strict=True))
+
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                b = batch.slice(a, ROWS)
+            for a in range(0, batch.num_rows, SLICE):
+                b = batch.slice(a, SLICE)
                 text = b.column(at) if inside is None else pc.struct_field(b.column(at), [inside])
-                out: list[tuple[float, list[int]]] = []
-                for part in chunks(text):
-                    if len(known) > 20_000:
-                        known.clear()
-                    keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in part]
-                    new = [*{k: t for k, t in zip(keys, part, strict=True) if k not in known}.items()]
-                    full = []
-                    for (k, _), q in zip(new, terms.count([t for _, t in new]), strict=True):
-                        known[k] = (model.blank, [])
-                        if len(q[0]):
-                            full.append((k, q))
-                    for x in range(0, len(full), QUERIES):
-                        some = full[x : x + QUERIES]
-                        known.update(zip([k for k, _ in some], model.score([q for _, q in some], ends, values), strict=True))
-                    out += [known[k] for k in keys]
-                cols = [*b.columns, pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "_score", "_evidence"])
+                if len(known) > 20_000:
+                    known.clear()
+                keys: list[bytes] = []
+                fresh: set[bytes] = set()
+                order: list[bytes] = []  # of the texts that are counted
+
+                def new(text=text, keys=keys, fresh=fresh, order=order) -> Iterator[list[str]]:
+                    for part in chunks(text):
+                        mine = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in part]
+                        keys.extend(mine)
+                        unseen = {k: t for k, t in zip(mine, part, strict=True) if k not in known and k not in fresh}
+                        fresh.update(unseen)
+                        order.extend(unseen)
+                        yield [*unseen.values()]
+
+                full: list[tuple[bytes, tuple[np.ndarray, np.ndarray]]] = []
+                for q, k in zip(terms.count(new()), order, strict=True):  # a text's key is there before its terms
+                    known[k] = (model.blank, [])
+                    if len(q[0]):
+                        full.append((k, q))
+                    if len(full) == QUERIES:
+                        score(full)
+                        full = []
+                score(full)
+                out = [known[k] for k in keys]
+                for x in range(0, b.num_rows, ROWS):
+                    some = out[x : x + ROWS]
+                    cols = [*b.slice(x, ROWS).columns, pa.array([s for s, _ in some], pa.float64()), pa.array([e for _, e in some], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "_score", "_evidence"])
 
     schema = StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_evidence", ArrayType(LongType()))])
     return docs.mapInArrow(run, schema)
